@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate
+from daftar.llm import bpe, decontaminate, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ def rank_file(name: str = "byte_bpe_50k.tiktoken") -> bytes:
         return f.read()
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
 
@@ -31,6 +39,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
+    "op3_quality_rules": op3_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_decontamination": op7_decontamination,
 }
