@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate, pii, quality_rules
+from daftar.llm import bpe, decontaminate, langid, pii, quality_model, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
 
@@ -38,10 +42,21 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op3_quality_rules": op3_quality_rules,
+    "op4_url_filter": op4_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_model": op8_quality_model,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
