@@ -1,15 +1,18 @@
 """Language identification by compression.
 
-For each language a bounded sample of labelled texts becomes a raw-content zstandard
-dictionary.  A text is compressed, whole, in blocks, with every dictionary; the
-language whose dictionary leaves the fewest bytes wins, and a narrow margin over
-the next one marks the prediction as rejected.  The sample is drawn by the smallest
-hashes of the ids in each language, so it doesn't depend on how rows are laid out.
-Prediction is one pass without a shuffle.
+For each language a bounded sample of labelled texts gives the words that stand in
+most of its documents, and these become the language's raw-content zstandard
+dictionary, the commonest last.  A word stays only where its share of documents is
+the largest of all languages, so a passage in another language doesn't teach it.
+A text's letters are compressed, whole, in blocks, with every dictionary; the language
+whose dictionary leaves the fewest bytes wins, and a narrow margin over the next one
+marks the prediction as rejected.  The sample is drawn by the smallest hashes of the
+ids in each language, so it doesn't depend on how rows are laid out.  Prediction is
+one pass without a shuffle.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; with no
-labelled rows at all every text is ``und``; equal sizes go to the language
-first in order; labels that are null take no part.
+labelled rows at all every text is ``und``; equal sizes go to the language with
+more labelled rows, then the first in order; labels that are null take no part.
 """
 
 from __future__ import annotations
@@ -18,40 +21,57 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents in a language's sample, and characters of each that enter its dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 1500
+#: Documents in a language's sample, and characters of each that count.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 1500
+#: Least documents of the sample that have a word, and bytes of a dictionary.
+LEAST_DOCS, DICTIONARY_BYTES = 2, 16_000
 #: More languages than this are refused; it bounds what the driver gathers and broadcasts.
 MAX_LANGUAGES = 400
 BLOCK_BYTES = 8 << 10
-LEVEL = 3
+LEVEL = 6
 #: A relative margin below this is narrow.
 MARGIN = 0.01
 
 
+def letters(text: F.Column) -> F.Column:
+    """Lowered runs of letters, one space before each; null where there is none."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " "))
+    return F.when(plain != "", F.concat(F.lit(" "), plain))
+
+
 def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from a bounded sample of the rows with a language and text."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
+    """Raw-content dictionaries by language, commonest language first, from a bounded sample of the labelled rows."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).dropna()
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
-    place = F.xxhash64(F.col(id_col).cast("string"))
-    # Of n rows, about 3 samples' worth lie below this hash; their smallest are the sample.
+    place = F.xxhash64("id")
+    # Of n rows, about 3 samples' worth lie below this hash; the smallest of them are the sample.
     top = {k: -(2**63) + int(2**64 * min(1.0, 3 * SAMPLE_DOCS / n)) - 1 for k, n in counts.items()}
-    limit = F.element_at(F.create_map(*(F.lit(x) for kv in top.items() for x in kv)), F.col(lang_col))
-    # Repeated rows have one hash each time and one id; a language then holds at most so many texts.
-    near = (
-        rows.where(place <= limit)
-        .groupBy(lang_col, place.alias("place"), F.col(id_col))
-        .agg(F.min(F.substring(F.col(text_col), 1, SAMPLE_CHARS)).alias("t"))
-        .groupBy(lang_col)
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "t"))), 1, SAMPLE_DOCS).alias("s"))
-    )
-    return {r[0]: "\n".join(x.t for x in r.s).lower().encode() for r in near.collect()}
+    limit = F.element_at(F.create_map(*(F.lit(x) for kv in top.items() for x in kv)), F.col("lang"))
+    near = rows.where(place <= limit).groupBy("lang", place.alias("place"), "id").agg(F.min(F.substring("t", 1, SAMPLE_CHARS)).alias("t"))
+    first = Window.partitionBy("lang").orderBy("place", "id")
+    sample = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_DOCS)
+    own = sample.select("lang", F.explode(F.array_distinct(F.split(F.ltrim(letters(F.col("t"))), " "))).alias("word"))
+    size = sample.groupBy("lang").agg(F.count("*").alias("of"))
+    share = F.col("n") / F.col("of")
+    best = F.max(share).over(Window.partitionBy("word"))
+    kept = (
+        own.groupBy("lang", "word").agg(F.count("*").alias("n")).join(F.broadcast(size), "lang")
+        .withColumn("best", best).where((F.col("n") >= LEAST_DOCS) & (share >= F.col("best")))
+    )
+    common = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    kept = kept.withColumn("held", F.sum(F.octet_length("word") + 1).over(common)).where(F.col("held") <= DICTIONARY_BYTES)
+    out: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
+    for r in kept.select("lang", "n", "word").collect():
+        out[r.lang].append((r.n, r.word))
+    order = sorted(out, key=lambda k: (-counts[k], k))
+    return {k: (" " + " ".join(w for _, w in sorted(out[k])) + " ").encode() for k in order}
 
 
 def _sizes(text: bytes, compressors: list[zstandard.ZstdCompressor]) -> list[int]:
@@ -67,10 +87,10 @@ def predict(docs: DataFrame, learned: dict[str, bytes], id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(learned)
-    rows = docs.select(F.col(id_col), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("t"))
+    rows = docs.select(F.col(id_col), letters(F.col(text_col)).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sorted(shared.value)
+        names = list(shared.value)
         made = []
         for name in names:
             content = zstandard.ZstdCompressionDict(shared.value[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -83,8 +103,8 @@ def predict(docs: DataFrame, learned: dict[str, bytes], id_col: str = "doc_id",
                 if value is None or not names:
                     out.append(("und", 0.0, True))
                     continue
-                sizes = _sizes(value.lower().encode(), made)
-                order = sorted(range(len(sizes)), key=lambda i: (sizes[i], names[i]))
+                sizes = _sizes(value.encode(), made)
+                order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
                 margin = 1.0 if len(order) == 1 else 1 - sizes[order[0]] / sizes[order[1]]
                 score = 1.0 if len(order) == 1 else margin / (margin + MARGIN)
                 out.append((names[order[0]], score, margin < MARGIN))
