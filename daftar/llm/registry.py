@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate, langid, license_scan, pii, quality_model, quality_rules, url_filter
+from daftar.llm import bpe, decontaminate, exact_substrings, langid, license_scan, pii, quality_model, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_quality_model": op8_quality_model,
+    "op9_exact_substrings": op9_exact_substrings,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
