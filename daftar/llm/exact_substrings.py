@@ -12,7 +12,9 @@ of some 280 bytes, and equal windows can only lie in segments with that hash.
     each heap backward extension on a Burrows-Wheeler transform, breadth-first and
     bounded by ``LENGTH``, finds the places whose next ``LENGTH`` bytes occur again.
 4.  A group too large for a heap (a passage in very many documents, or a very long
-    periodic text) is resolved exactly by counting its windows' hashes instead, spread over all tasks.
+    periodic text) is split exactly: its windows are cut into narrower classes by where
+    they hold their smallest gram, and windows of a class share a core of bytes, whose
+    hash is the finer key.  Steps 2 to 4 follow for the pieces, down to single windows.
 5.  Each distinct text gets its covered places, and its copies with it.
 
 Counts are summed in the task before any shuffle, and every large table meets a
@@ -44,6 +46,8 @@ GRAM = 20
 SLICE = 2 << 20
 #: Bytes of a heap, and of one group of variants at most before it counts as large.
 HEAP_BYTES, GROUP_BYTES = 1 << 20, 256 << 10
+#: Distances to the smallest gram in a class when a large group is split, and split again.
+WIDTHS = (64, 16, 4, 1)
 
 _CODE = np.random.default_rng(77001).integers(1, 2**63, 256, dtype=np.uint64)
 _PLACE_BITS = np.uint64(23)
@@ -73,58 +77,68 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def segments(part: Slice) -> dict[str, np.ndarray]:
-    """Segments of a slice's rows: row, hash of their smallest gram, hash of their bytes, first window, windows, several.
-
-    ``several`` tells that a window may be found again inside its own segment.
-    """
-    data, n = part.data, len(part.data)
-    names = ("row", "gram", "whole", "start", "windows", "several")
-    if n < LENGTH:
-        return {k: np.zeros(0, bool if k == "several" else np.int64) for k in names}
-    prefix = _prefix(data)
-    grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * _power_table(_BASE_INVERSE, n - GRAM + 1))
-    # the hash's upper bits, then the place: the leftmost of the smallest in each window
-    packed = (grams & ~_PLACE_MASK) | np.arange(len(grams), dtype=np.uint64)
-    if len(grams) > int(_PLACE_MASK):
-        return _long_segments(part, prefix, grams)
-    place = (_sliding_min(packed, LENGTH - GRAM + 1) & _PLACE_MASK).astype(np.int64)
-    return _runs(part, prefix, grams, place)
-
-
-def _long_segments(part: Slice, prefix: np.ndarray, grams: np.ndarray) -> dict[str, np.ndarray]:
-    """The same for a row with more bytes than a place has bits: windows in overlapping stretches."""
-    w, step, found = LENGTH - GRAM + 1, int(_PLACE_MASK) - LENGTH, []
-    for lo in range(0, len(grams) - w + 1, step):
+def _places(prefix: np.ndarray) -> np.ndarray:
+    """For each window its smallest gram's first place."""
+    n = len(prefix) - 1
+    grams, w = _grams(prefix), LENGTH - GRAM + 1
+    step = int(_PLACE_MASK) - LENGTH
+    found = []
+    for lo in range(0, n - LENGTH + 1, step):  # more places than the bits hold: in overlapping stretches
         own = grams[lo : lo + step + w - 1]
+        # the hash's upper bits, then the place: the leftmost of the smallest in each window
         packed = (own & ~_PLACE_MASK) | np.arange(len(own), dtype=np.uint64)
         found.append((_sliding_min(packed, w) & _PLACE_MASK).astype(np.int64) + lo)
-    return _runs(part, prefix, grams, np.concatenate(found))
+    return np.concatenate(found)
+
 
+def _grams(prefix: np.ndarray) -> np.ndarray:
+    return mix((prefix[GRAM:] - prefix[:-GRAM]) * _power_table(_BASE_INVERSE, len(prefix) - GRAM))
 
-def _runs(part: Slice, prefix: np.ndarray, grams: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+
+def _runs(part: Slice, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows inside a row with one value: row, first and last window."""
     n, off = len(part.data), part.offsets
-    value = grams[place]
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, np.maximum(off[:-1], off[1:] - LENGTH + 1), 1)
     np.add.at(edge, off[1:], -1)
     inside = (np.cumsum(edge[:-1]) == 0)[: len(value)]
-    opens = inside.copy()
-    opens[1:] &= ~inside[:-1] | (value[1:] != value[:-1])
-    closes = inside.copy()
-    closes[:-1] &= ~inside[1:] | (value[1:] != value[:-1])
-    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
-    row = np.searchsorted(off, first, side="right") - 1
+    starts = off[:-1][off[:-1] < len(value)]
+    turn = np.ones(len(value), bool)
+    turn[1:] = ~inside[:-1] | (value[1:] != value[:-1])
+    turn[starts] = True
+    opens = np.flatnonzero(inside & turn)
+    closes = np.flatnonzero(inside & np.append(turn[1:] | ~inside[1:], True))
+    return np.searchsorted(off, opens, side="right") - 1, opens, closes
+
+
+def segments(part: Slice) -> dict[str, np.ndarray]:
+    """Segments of a slice's rows: row, hash of their smallest gram, hash of their bytes, first window, windows, several.
+
+    ``several`` tells that a window may be found again inside its own segment.
+    """
+    if len(part.data) < LENGTH:
+        names = ("row", "gram", "whole", "start", "windows", "several")
+        return {k: np.zeros(0, bool if k == "several" else np.int64) for k in names}
+    prefix = _prefix(part.data)
+    place = _places(prefix)
+    value = _grams(prefix)[place]
+    row, first, last = _runs(part, value)
     return {
         "row": row,
         "gram": value[first].view(np.int64),
         "whole": _hashes(prefix, first, last + LENGTH),
-        "start": first - off[row],
+        "start": first - part.offsets[row],
         "windows": last - first + 1,
         "several": place[first] != place[last],
     }
 
 
+def _pieces(part: Slice, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one place of the smallest gram, in one class of ``width`` distances to it."""
+    distance = place - np.arange(len(place))
+    return _runs(part, place * (LENGTH + 1) + distance // width)
+
+
 def _segment_rows(texts: DataFrame) -> DataFrame:
     """Segments of each batch's distinct texts, with the number of their copies in the batch."""
 
@@ -177,23 +191,59 @@ def _search_heap(heap: pd.DataFrame) -> pd.DataFrame:
     return ends_.reset_index(drop=True)
 
 
-def _window_rows(cut: DataFrame) -> DataFrame:
-    """Each window of a segment: its hash, place, and how often its segment occurs."""
+def _split(cut: DataFrame, width: int) -> DataFrame:
+    """Pieces of segments with their bytes: runs of windows of one class of ``width`` places of the smallest gram.
+
+    Equal windows hold it at one place, so they are of one class and have the bytes in common that
+    all windows of the class have; these make the new key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ref, start, times = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for part in slices(batch.column(3), SLICE):
-                size = np.diff(part.offsets)
-                count = np.maximum(size - LENGTH + 1, 0)
-                row = np.repeat(np.arange(len(size)), count)
-                inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                place = part.offsets[row] + inner
-                hashes = _hashes(_prefix(part.data), place, place + LENGTH)
+            old, ref, start, times = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for part in slices(batch.column(4), SLICE):
+                if len(part.data) < LENGTH:
+                    continue
+                prefix = _prefix(part.data)
+                place = _places(prefix)
+                row, first, last = _pieces(part, place, width)
+                core = place[first] - (place[first] - first) // width * width
+                key = _hashes(prefix, core, core + LENGTH - width + 1).view(np.uint64) ^ mix(((place[first] - first) // width).astype(np.uint64))
                 at = part.first + row
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes, ref[at], start[at] + inner, times[at])], ["window", "ref", "a", "times"])
+                size = last - first + LENGTH
+                flat = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+                data = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(row),
+                    [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(part.data[flat])],
+                ).cast(pa.binary())
+                arrays = [
+                    mix(key + old[at].view(np.uint64)).view(np.int64), _hashes(prefix, first, last + LENGTH),
+                    ref[at], start[at] + first - part.offsets[row], last - first + 1, times[at],
+                ]
+                yield pa.RecordBatch.from_arrays([*(pa.array(a) for a in arrays), data], ["gram", "whole", "ref", "start", "windows", "times", "bytes"])
+
+    kinds = "gram long, whole long, ref long, start long, windows long, times long, bytes binary"
+    return cut.select("gram", "ref", "start", "times", "bytes").mapInArrow(run, kinds)
 
-    return cut.select("ref", "start", "times", "bytes").mapInArrow(run, "window long, ref long, a long, times long")
+
+def _heaps(rows: DataFrame) -> DataFrame:
+    """Covered ranges of the segments in small groups (gram, size of the group), heap by heap."""
+    total = rows.select("gram", "size").distinct().agg(F.sum("size")).first()[0] or 0
+    heap = F.pmod(F.xxhash64("gram"), F.lit(1 + int(total) // HEAP_BYTES))
+    return rows.withColumn("heap", heap).groupBy("heap").applyInPandas(_search_heap, "ref long, a long, b long")
+
+
+def _range() -> list[F.Column]:
+    return [F.col("ref"), F.col("start").alias("a"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("b")]
+
+
+def _open_groups(variant: DataFrame, inner: F.Column) -> DataFrame:
+    """``(gram, size)`` of the groups that may hold further repeats: of several variants, or of one that repeats in itself."""
+    groups = variant.groupBy("gram").agg(
+        F.count("*").alias("n"), F.max(inner & (F.col("times") == 1)).alias("inner"),
+        F.count_if(F.col("times") == 1).alias("single"), F.sum(F.col("at.windows") + LENGTH).alias("size"),
+    )
+    return groups.where("single > 0 and (n > 1 or inner)").select("gram", "size")
 
 
 def covered(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -207,26 +257,24 @@ def covered(texts: DataFrame, scratch: Scratch) -> DataFrame:
     )
     variant = scratch.write(variant)
     again = near.join(variant.where("times > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
-    whole = again.select("ref", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("b")).distinct()
-
-    size = F.col("at.windows") + LENGTH
-    groups = variant.groupBy("gram").agg(
-        F.count("*").alias("n"), F.max(F.col("several") & (F.col("times") == 1)).alias("inner"),
-        F.count_if(F.col("times") == 1).alias("single"), F.sum(size).alias("bytes"),
-    )
-    open_ = scratch.write(groups.where("single > 0 and (n > 1 or inner)").select("gram", "bytes"))
-    total = open_.where(F.col("bytes") <= GROUP_BYTES).agg(F.sum("bytes")).first()[0] or 0
-    heaps = 1 + int(total) // HEAP_BYTES
-    wanted = variant.join(open_, "gram").select(
-        "gram", "whole", "times", "at.*", (F.col("bytes") > GROUP_BYTES).alias("large"), F.pmod(F.xxhash64("gram"), F.lit(heaps)).alias("heap")
-    )
+    found = again.select(*_range()).distinct()
+    wanted = variant.join(_open_groups(variant, F.col("several")), "gram").select("gram", "whole", "times", "size", "at.*")
     cut = scratch.write(_cut(texts, wanted))
-    small = cut.where("not large").groupBy("heap").applyInPandas(_search_heap, "ref long, a long, b long")
-
-    windows = _window_rows(cut.where("large"))
-    twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    marks = windows.where("times = 1").join(twice, "window", "left_semi").select("ref", "a", (F.col("a") + LENGTH).alias("b"))
-    return whole.unionByName(small).unionByName(marks)
+    found = found.unionByName(_heaps(cut.where(F.col("size") <= GROUP_BYTES)))
+    large = cut.where(F.col("size") > GROUP_BYTES)
+    for width in WIDTHS:
+        if large.isEmpty():
+            break
+        pieces = scratch.write(_split(large, width))
+        variant = pieces.groupBy("gram", "whole").agg(F.sum("times").alias("times"), F.min(F.struct("ref", "start", "windows")).alias("at"))
+        variant = scratch.write(variant)
+        again = pieces.join(variant.where("times > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
+        found = found.unionByName(again.select(*_range()).distinct())
+        wanted = variant.join(_open_groups(variant, F.lit(False)), "gram").select("gram", "whole", "times", "size", "at.ref", "at.start")
+        cut = scratch.write(pieces.drop("times").join(wanted, ["gram", "whole", "ref", "start"]))
+        found = found.unionByName(_heaps(cut.where(F.col("size") <= GROUP_BYTES)))
+        large = cut.where(F.col("size") > GROUP_BYTES)
+    return found
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
