@@ -10,10 +10,12 @@ a register is its signature value, and two signatures agree in a register with
 the probability of the similarity.  A process ends when it is later than every register.
 
 Registers are banded; documents that agree in a band are candidates.  No bucket is expanded into
-all its pairs: its members are compared with one hub, components are formed, and only
-members of other components are compared further, first with another hub, then
-with each other.  A pair counts only after its whole multisets have been compared, and no link
-between documents of different components that agree in a band is left out.
+all its pairs.  Its members are compared with one hub, the member nearest to what most of
+them agree on, and components are formed.  Only members outside a bucket's main component
+are looked at further: their sketches meet the bucket's others in blocks of bounded size,
+inside tasks, and the likeliest partners in other components are compared first, then all
+that the sketches leave possible.  A pair counts only after its whole multisets have been
+compared, and no such pair between components is left out.
 
 Exact copies are one node from the start, so is any text however often it occurs.
 Large tables always meet tables with one row a key, which lets hot keys be split.
@@ -43,8 +45,10 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 #: Similarity from which documents are near-duplicates, in tenths.
 TENTHS = 8
-#: A pair whose signatures agree in fewer registers isn't compared (six standard errors below the threshold).
-LEAST_AGREEING = 0.6
+#: A pair whose signatures agree in fewer registers isn't compared (four standard errors below the threshold).
+LEAST_AGREEING = 0.66
+#: Members of a bucket in a block, and partners tried first for a member, component and block.
+BLOCK, TRIED_FIRST = 512, 1
 _ELEMENT_BITS = np.uint64(48)
 
 
@@ -193,40 +197,112 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _blocks(placed: DataFrame, signed: DataFrame, with_bands: bool) -> DataFrame:
+    """Members of buckets in blocks of bounded size: (key, block, rows)."""
+    counts = placed.groupBy("key").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("ref"), F.ceil(F.col("n") / BLOCK))
+    member = F.struct("ref", "component", "sketch", *(["bands"] if with_bands else []))
+    rows = placed.join(counts, "key").select("key", "ref", "component", block.alias("block")).join(signed, "ref")
+    return rows.groupBy("key", "block").agg(F.collect_list(member).alias("rows"))
+
+
+def _sketches(members: pa.StructArray) -> np.ndarray:
+    return np.frombuffer(b"".join(members.field("sketch").to_pylist()), np.uint8).reshape(len(members), -1)
+
+
+def _hubs(blocks: DataFrame) -> DataFrame:
+    """``(key, hub, component)``: in a block of each bucket, the member that agrees most with what most members have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, parts = [], []
+            for rows in batch.column(1):
+                members = rows.values
+                sketch, refs = _sketches(members), members.field("ref").to_numpy()
+                common = np.zeros(sketch.shape[1], np.uint8)
+                for r in range(sketch.shape[1] if len(sketch) > 2 else 0):
+                    common[r] = np.bincount(sketch[:, r], minlength=256).argmax()
+                near = (sketch == common).sum(1) if len(sketch) > 2 else np.zeros(len(sketch))
+                best = np.lexsort((refs, -near))[0]
+                hubs.append(int(refs[best]))
+                parts.append(members.field("component")[int(best)].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hubs, pa.int64()), pa.array(parts, pa.int64())], ["key", "hub", "hub_component"])
+
+    return blocks.where("block = 0").select("key", "rows").mapInArrow(run, "key long, hub long, hub_component long")
+
+
+def _partners(outside: DataFrame, every: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) of different components that sketches leave possible, from blocks of buckets (key, rows).
+
+    A pair comes from the first band in which it agrees.  With ``most``, a member gets so many partners
+    in each component and block, the likeliest.
+    """
+    met = outside.select("key", F.col("rows").alias("left")).join(every.select("key", F.col("rows").alias("right")), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                one, two = left.values, right.values
+                (sa, sb), (ra, rb), (ca, cb) = (
+                    (f(one), f(two)) for f in (_sketches, lambda m: m.field("ref").to_numpy(), lambda m: m.field("component").to_numpy())
+                )
+                ba, bb = (np.stack(m.field("bands").to_numpy(zero_copy_only=False)) for m in (one, two))
+                band = int(np.flatnonzero(ba[0] == key)[0])
+                found = []
+                for i in range(len(ra)):
+                    agree = (sb == sa[i]).mean(1)
+                    ok = (agree >= LEAST_AGREEING) & (cb != ca[i])
+                    ok[ok] &= ~(bb[ok, :band] == ba[i, :band]).any(1)
+                    at = np.flatnonzero(ok)
+                    if most is not None and len(at):
+                        at = at[np.lexsort((-agree[at], cb[at]))]
+                        new = np.ones(len(at), bool)
+                        new[1:] = cb[at][1:] != cb[at][:-1]
+                        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                        at = at[nth < most]
+                    found.append(np.stack([np.minimum(ra[i], rb[at]), np.maximum(ra[i], rb[at])], axis=1))
+                pairs = np.unique(np.concatenate(found), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` of the distinct texts (ref, text) that have a near-duplicate."""
     signed = scratch.write(_signed(texts))
-    sketches = scratch.write(signed.groupBy("ref").agg(F.min("sketch").alias("sketch")))
     bands = signed.select("ref", F.explode("bands").alias("key"))
     crowded = bands.groupBy("key").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low != high")
     members = scratch.write(bands.join(crowded.select("key"), "key", "left_semi").distinct())
     involved = members.select("ref").distinct()
-    known = scratch.write(texts.join(involved, "ref", "left_semi").mapInArrow(lambda it: (_distinct(b) for b in it), "ref long, text string"))
-    known = known.groupBy("ref").agg(F.min("text").alias("text"))
-    known = scratch.write(known)
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    one_each = signed.join(involved, "ref", "left_semi").groupBy("ref").agg(F.min("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    known_sketches = scratch.write(one_each)
+    known = texts.join(involved, "ref", "left_semi").mapInArrow(lambda it: (_distinct(b) for b in it), "ref long, text string")
+    known = scratch.write(known.groupBy("ref").agg(F.min("text").alias("text")))
     verified: list[DataFrame] = []
     tested: list[DataFrame] = []
     found: DataFrame | None = None
-    for turn in ("lowest hub", "other hub", "each other"):
+    for turn in ("hub", "likeliest", "all"):
         if found is None:
             placed = members.withColumn("component", F.col("ref"))
         else:
             placed = members.join(found.withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
-            placed = scratch.write(placed)
-        if turn == "each other":
             mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-            rest = placed.join(mixed.select("key"), "key", "left_semi")
-            one, two = (rest.select("key", F.col("ref").alias(f"r{i}"), F.col("component").alias(f"c{i}")) for i in (1, 2))
-            pairs = one.join(two, "key").where("c1 < c2").select(*ordered(F.col("r1"), F.col("r2")))
+            placed = placed.join(mixed.select("key"), "key", "left_semi")
+        placed = scratch.write(placed)
+        if turn == "hub":
+            hubs = _hubs(_blocks(placed, known_sketches.select("ref", "sketch"), False))
+            pairs = placed.join(hubs, "key").where("ref != hub").select(F.least("ref", "hub").alias("a"), F.greatest("ref", "hub").alias("b"))
+            pairs = _agreeing(pairs.distinct(), known_sketches)
         else:
-            by = F.struct("ref") if turn == "lowest hub" else F.struct(F.xxhash64("ref", "key"), F.col("ref"))
-            hubs = placed.groupBy("key").agg(F.min_by(F.struct("ref", "component"), by).alias("hub"))
-            pairs = placed.join(hubs, "key").where("component != hub.component").select(*ordered(F.col("ref"), F.col("hub.ref")))
-        pairs = pairs.distinct()
+            sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+            main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+            outside = placed.join(main, "key").where("component != main").drop("main")
+            every = _blocks(placed, known_sketches, True)
+            pairs = _partners(_blocks(outside, known_sketches, True), every, TRIED_FIRST if turn == "likeliest" else None).distinct()
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
-        pairs = scratch.write(_agreeing(pairs, sketches))
+        pairs = scratch.write(pairs)
         if pairs.isEmpty():
             continue
         tested.append(pairs)
