@@ -1 +1 @@
-"""functions of daftar."""
+"""Column-returning functions: text, calendar, geometry, arrays."""

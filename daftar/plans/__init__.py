@@ -1 +1 @@
-"""plans of daftar."""
+"""Plans that join kernels and relational operators into whole jobs."""

@@ -1 +1 @@
-"""sources of daftar."""
+"""Scans and sinks: reads, labels, images, weights, and drawn test material."""

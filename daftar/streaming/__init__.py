@@ -1 +1 @@
-"""streaming of daftar."""
+"""Structured Streaming forms of the operators."""

@@ -1 +1 @@
-"""vision of daftar."""
+"""Numpy kernels for pixels, run inside Arrow batches by ``plans``."""
