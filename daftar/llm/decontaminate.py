@@ -254,5 +254,4 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
-        "longest",
     )

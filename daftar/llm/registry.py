@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate, exact_substrings, langid, license_scan, near_duplicates, pii, quality_model, quality_rules, url_filter
+from daftar.llm import bpe, decontaminate, exact_substrings, langid, license_scan, near_duplicates, oracle, pii, quality_model, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,4 +74,8 @@ QUERIES: dict[str, Query] = {
     "op9_exact_substrings": op9_exact_substrings,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": oracle.QUALITY_RULES,
+    "op4_url_filter": oracle.URL_FILTER,
+    "op7_decontamination": oracle.DECONTAMINATION,
+}
