@@ -45,8 +45,10 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 #: Similarity from which documents are near-duplicates, in tenths.
 TENTHS = 8
-#: A pair whose signatures agree in fewer registers isn't compared (four standard errors below the threshold).
-LEAST_AGREEING = 0.66
+#: Registers of the sketches of documents that share a band; a byte of each is kept.
+FINE_REGISTERS = 512
+#: A pair whose sketches agree in fewer registers isn't compared (four standard errors below the threshold).
+LEAST_AGREEING = 0.729
 #: Members of a bucket in a block, and partners tried first for a member, component and block.
 BLOCK, TRIED_FIRST = 512, 1
 _ELEMENT_BITS = np.uint64(48)
@@ -123,32 +125,38 @@ def _distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(first))
 
 
+def _signatures_of(batches: Iterator[pa.RecordBatch], registers: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Signatures of the distinct texts with words in batches of (ref, text): refs and registers."""
+    for whole in batches:
+        for lo in range(0, len(whole), 1 << 13):
+            batch = _distinct(whole.slice(lo, 1 << 13))
+            for part in slices(batch.column(1), 2 << 20):
+                row, element, times = shingles(part)
+                some = np.unique(row)
+                if len(some):
+                    yield batch.column(0).take(pa.array(part.first + some)), signatures(np.searchsorted(some, row), element, times, len(some), registers)
+
+
 def _signed(texts: DataFrame) -> DataFrame:
-    """``(ref, sketch, bands)``: a byte of each register, and the band keys, of each batch's distinct texts with words."""
+    """``(ref, bands)``: the band keys of each batch's distinct texts with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for refs, sig in _signatures_of(batches, REGISTERS):
+            at = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([refs, pa.ListArray.from_arrays(at, pa.array(band_keys(sig).ravel()))], ["ref", "bands"])
+
+    return texts.select("ref", "text").mapInArrow(run, "ref long, bands array<long>")
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """``(ref, sketch)``: a byte of each register of a finer signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, len(whole), 1 << 15):
-                batch = _distinct(whole.slice(lo, 1 << 15))
-                for part in slices(batch.column(1), 2 << 20):
-                    row, element, times = shingles(part)
-                    some = np.unique(row)
-                    if len(some) == 0:
-                        continue
-                    sig = signatures(np.searchsorted(some, row), element, times, len(some))
-                    keys = band_keys(sig)
-                    at = pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS)
-                    low = (sig & np.uint64(255)).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(pa.array(part.first + some)),
-                            pa.array([x.tobytes() for x in low], pa.binary()),
-                            pa.ListArray.from_arrays(at, pa.array(keys.ravel())),
-                        ],
-                        ["ref", "sketch", "bands"],
-                    )
-
-    return texts.select("ref", "text").mapInArrow(run, "ref long, sketch binary, bands array<long>")
+        for refs, sig in _signatures_of(batches, FINE_REGISTERS):
+            low = (sig & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([refs, pa.array([x.tobytes() for x in low], pa.binary())], ["ref", "sketch"])
+
+    return texts.select("ref", "text").mapInArrow(run, "ref long, sketch binary")
 
 
 def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -275,10 +283,10 @@ def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     crowded = bands.groupBy("key").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low != high")
     members = scratch.write(bands.join(crowded.select("key"), "key", "left_semi").distinct())
     involved = members.select("ref").distinct()
-    one_each = signed.join(involved, "ref", "left_semi").groupBy("ref").agg(F.min("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    known_sketches = scratch.write(one_each)
     known = texts.join(involved, "ref", "left_semi").mapInArrow(lambda it: (_distinct(b) for b in it), "ref long, text string")
     known = scratch.write(known.groupBy("ref").agg(F.min("text").alias("text")))
+    one_each = signed.join(involved, "ref", "left_semi").groupBy("ref").agg(F.first("bands").alias("bands"))
+    known_sketches = scratch.write(_sketched(known).join(one_each, "ref"))
     verified: list[DataFrame] = []
     tested: list[DataFrame] = []
     found: DataFrame | None = None
