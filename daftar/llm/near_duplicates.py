@@ -51,6 +51,8 @@ FINE_REGISTERS = 512
 LEAST_AGREEING = 0.729
 #: Members of a bucket in a block, and partners tried first for a member, component and block.
 BLOCK, TRIED_FIRST = 512, 1
+#: Rows given to Python at once: pairs of blocks (0.8 MB each), and pairs of texts.
+BLOCK_ROWS, TEXT_ROWS = 16, 256
 _ELEMENT_BITS = np.uint64(48)
 
 
@@ -310,11 +312,11 @@ def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
             pairs = _partners(_blocks(outside, known_sketches, True), every, TRIED_FIRST if turn == "likeliest" else None).distinct()
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs)
+        pairs = scratch.write(pairs, None if turn == "hub" else BLOCK_ROWS)
         if pairs.isEmpty():
             continue
         tested.append(pairs)
-        verified.append(scratch.write(_alike(pairs, known)))
+        verified.append(scratch.write(_alike(pairs, known), TEXT_ROWS))
         found = connected_components(reduce(DataFrame.unionByName, verified), "a", "b")
     if found is None:
         return members.sparkSession.createDataFrame([], "node long, component long")

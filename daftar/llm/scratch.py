@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Jobs run inside hand Python so many rows at once, for rows that are large; None leaves the session's setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows is not None:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Written tables of one run; ``drop`` deletes one that is no longer read."""
 
@@ -25,11 +40,12 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Cut the lineage: write the rows and return a DataFrame that reads them."""
+    def write(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """Cut the lineage: write the rows and return a DataFrame that reads them.  ``batch``: as in ``rows_a_batch``."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        with rows_a_batch(self.spark, batch):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._daftar_path = path
         return out
