@@ -20,16 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def rows_a_batch(spark: SparkSession, rows: int | None) -> Iterator[None]:
-    """Jobs run inside hand Python so many rows at once, for rows that are large; None leaves the session's setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if rows is not None:
-        spark.conf.set(key, rows)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Jobs run inside have these settings of the session; afterwards they are as before."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 class Scratch:
@@ -41,10 +41,17 @@ class Scratch:
         self.count = 0
 
     def write(self, df: DataFrame, batch: int | None = None) -> DataFrame:
-        """Cut the lineage: write the rows and return a DataFrame that reads them.  ``batch``: as in ``rows_a_batch``."""
+        """Cut the lineage: write the rows and return a DataFrame that reads them.
+
+        The job's shuffle files go when it ends, as later jobs read the table.  ``batch``: rows that
+        Python is given at once, where rows are large; else the session's setting.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
-        with rows_a_batch(self.spark, batch):
+        values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        if batch is not None:
+            values["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch)
+        with settings(self.spark, values):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._daftar_path = path
