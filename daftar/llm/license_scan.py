@@ -1,11 +1,12 @@
 """Licence scans by conditional compression.
 
 A built-in pattern marks texts that may hold a licence; only these reach the tasks'
-Python.  There, candidate blocks (lines with a licence word, or the surroundings of
-the word in long lines) are compressed by themselves and with every template as
-raw zstandard dictionary; templates are ranked by how much smaller the block
-gets, and the best are confirmed by their exact wording differences: the words of a
-passage that the block lacks and the words put between them.
+Python.  There, candidate blocks are the words within reach of a licence word, in any
+layout: a passage may run over as many lines as it likes.  In a block every template's
+passages are aligned by their wording: at most some words of a passage are missing and
+some put between them.  An aligned passage counts if its template, as raw zstandard
+dictionary, makes it smaller by a share; of passages that overlap the closest stays,
+so licences in a row are all reported.
 
 One pass, no shuffle; the templates are a fixed table that travels with the tasks.
 Defined cases: null or empty text has no block and no licence; a block that no
@@ -15,8 +16,10 @@ template explains is counted but names nothing; repeated rows are scanned each f
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -25,93 +28,143 @@ from pyspark.sql import functions as F
 
 from daftar.llm.license_templates import TEMPLATES, Template
 
-#: Words that make a line a candidate; the same in Java's and Python's notation.
+#: Words that make their surroundings a candidate; the same in Java's and Python's notation.
+#: Whatever isn't a letter or digit may stand between two words, since lines wrap and comments have marks.
 TRIGGER = (
-    r"(?i)licen[sc]e|copyright|permission (?:is hereby|to use)|redistribut|spdx|public domain|rights reserved"
-    r"|creative commons|free software|\bcc0?[ -](?:by|1)"
+    r"(?i)licen[sc]e|copyright|permission[^a-z0-9]+(?:is[^a-z0-9]+hereby|to[^a-z0-9]+use)|redistribut|spdx|public[^a-z0-9]+domain"
+    r"|rights[^a-z0-9]+reserved|creative[^a-z0-9]+commons|free[^a-z0-9]+software|(?<![a-z0-9])cc0?[ -](?:by|1)"
 )
-LONG_LINE, AROUND = 1000, 300
-#: Templates looked at word by word, best first, and the share of a passage's words that must be there.
-TRIED, SHARE = 4, 0.85
-#: Words that may stand between a passage's first and last word without being in it, by its length.
+#: The share of a passage's words that must be there.
+SHARE = 0.85
+#: Words that may stand between a passage's first and last word without being in it: two and a share of its length.
 EXTRA = 0.15
-#: Least reduction of a block's compressed size.
+#: Least reduction of a passage's compressed size.
 LEAST = 0.2
 
-_WORD = re.compile(r"[a-z0-9]+")
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Places (start, end) of candidate blocks."""
-    out, at, trigger = [], 0, re.compile(TRIGGER)
-    for line in text.split("\n"):
-        hits = [m.span() for m in trigger.finditer(line)]
-        if hits and len(line) <= LONG_LINE:
-            out.append((at, at + len(line)))
-        else:
-            for a, b in hits:
-                lo, hi = at + max(0, a - AROUND), at + min(len(line), b + AROUND)
-                if out and lo <= out[-1][1]:
-                    out[-1] = (out[-1][0], max(hi, out[-1][1]))
-                else:
-                    out.append((lo, hi))
-        at += len(line) + 1
-    joined: list[tuple[int, int]] = []
-    for a, b in out:  # lines that follow each other are one block, up to a length
-        if joined and a - joined[-1][1] <= 1 and b - joined[-1][0] <= 4 * LONG_LINE:
-            joined[-1] = (joined[-1][0], b)
-        else:
-            joined.append((a, b))
-    return joined
+_TRIGGER, _WORD = re.compile(TRIGGER, re.ASCII), re.compile(r"[A-Za-z0-9]+")
+
+
+class Passage:
+    """A template's passage as words, and how far it may be stretched."""
+
+    def __init__(self, template: int, text: str):
+        self.template, self.words = template, [w.lower() for w in _WORD.findall(text)]
+        self.counts, n = Counter(self.words), len(self.words)
+        self.least = next(k for k in range(n + 1) if k >= SHARE * n)
+        self.span = int(n + 2 + EXTRA * n)
+        self.bits: dict[str, int] = {}
+        for j, w in enumerate(self.words):
+            self.bits[w] = self.bits.get(w, 0) | 1 << j
+
+    def common(self, words: list[str]) -> list[int]:
+        """Bit sets by word; the zeros below place j of the i-th count what the first i words and j of the passage have in common, in order."""
+        ones = (1 << len(self.words)) - 1
+        rows = [ones]
+        for w in words:
+            v = rows[-1]
+            u = v & self.bits.get(w, 0)
+            rows.append(((v + u) | (v - u)) & ones)
+        return rows
+
+    def align(self, words: list[str]) -> list[tuple[int, int]] | None:
+        """Places (in the passage, in the words) of a longest common sequence; None if it is too short."""
+        rows, n = self.common(words), len(self.words)
+        if n - rows[-1].bit_count() < self.least:
+            return None
+        held = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
+        out, i, j = [], len(words), n
+        while i and j:
+            if held(i - 1, j) == held(i, j):
+                i -= 1
+            elif held(i, j - 1) == held(i, j):
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((j, i))
+        return out[::-1]
+
+    def places(self, words: list[str], needs: tuple[str, ...]) -> Iterator[tuple[int, int, int, int]]:
+        """(first, last, words wrong, words right) wherever the passage stands; from each word that it may begin with."""
+        own = [w in self.bits for w in words]
+        before = [0, *accumulate(own)]
+        for s in range(len(words)):
+            if not own[s] or before[min(len(words), s + self.span)] - before[s] < self.least:
+                continue
+            pairs = self.align(words[s : s + self.span])
+            if pairs is None:
+                continue
+            got = iter([self.words[j] for j, _ in pairs])
+            if not all(any(w == x for x in got) for w in needs):
+                continue
+            right, first, last = len(pairs), s + pairs[0][1], s + pairs[-1][1]
+            extra = last + 1 - first - right
+            if extra <= 2 + EXTRA * len(self.words):
+                yield first, last, len(self.words) - right + extra, right
 
 
 class Scanner:
-    """Compressors and words of the templates."""
+    """Compressors and passages of the templates."""
 
     def __init__(self, templates: tuple[Template, ...] = TEMPLATES):
         self.templates = templates
         self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False)
-        self.with_template, self.words = [], []
+        self.with_template = []
+        self.passages = [Passage(k, p) for k, t in enumerate(templates) for p in t.passages]
+        self.reach = max((p.span for p in self.passages), default=0)
         for t in templates:
             body = "\n".join(" ".join(p.split()) for p in t.passages).lower().encode()
             content = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=6)
             self.with_template.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_dict_id=False))
-            self.words.append([_WORD.findall(p.lower()) for p in t.passages])
-
-    def differences(self, k: int, block: list[str]) -> tuple[int, int] | None:
-        """Of template k's best passage, (words wrong, words right); None if none is confirmed."""
-        best = None
-        for passage in self.words[k]:
-            pairs = [m for m in SequenceMatcher(None, passage, block, autojunk=False).get_matching_blocks() if m.size]
-            right = sum(m.size for m in pairs)
-            if right < SHARE * len(passage):
-                continue
-            got = [w for m in pairs for w in passage[m.a : m.a + m.size]]
-            needs = iter(got)
-            if not all(any(w == x for x in needs) for w in self.templates[k].needs):
-                continue
-            extra = pairs[-1].b + pairs[-1].size - pairs[0].b - right
-            if extra > 2 + EXTRA * len(passage):
-                continue
-            wrong = len(passage) - right + extra
-            if best is None or (wrong, -right) < (best[0], -best[1]):
-                best = (wrong, right)
-        return best
-
-    def name(self, block: str) -> tuple[str, float] | None:
-        """The licence that a block states and the size reduction by its template."""
-        data = " ".join(block.split()).lower().encode()
-        alone = len(self.plain.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / alone, -k) for k, c in enumerate(self.with_template)), reverse=True)
-        words_, found = _WORD.findall(data.decode()), []
-        for gain, k in ranked[:TRIED]:
-            if gain >= LEAST and (d := self.differences(-k, words_)) is not None:
-                found.append((-d[1] + 2 * d[0], -gain, -k))
-        if not found:
-            return None
-        _, gain, k = min(found)
-        return self.templates[k].spdx, -gain
+
+    def blocks(self, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Places of the text's words, and (first, end) of the runs of them that a passage with a licence word can lie in."""
+        hits = [m.span() for m in _TRIGGER.finditer(text)]
+        if not hits:
+            return [], []
+        words = [m.span() for m in _WORD.finditer(text)]
+        starts, out = [a for a, _ in words], []
+        for a, b in hits:
+            lo, hi = max(0, bisect_right(starts, a) - 1 - self.reach), min(len(words), bisect_right(starts, b - 1) + self.reach)
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
+        return words, out
+
+    def reduction(self, k: int, text: str) -> float:
+        """How much smaller a text gets with template k."""
+        data = " ".join(text.split()).lower().encode()
+        return 1 - len(self.with_template[k].compress(data)) / len(self.plain.compress(data))
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int, str, float]]]:
+        """How many blocks the text has, and (start, end, licence, reduction) of the passages confirmed in them, in order."""
+        places, runs = self.blocks(text)
+        out = []
+        for lo, hi in runs:
+            words = [text[a:b].lower() for a, b in places[lo:hi]]
+            held, found = Counter(words), set()
+            for p in self.passages:
+                if sum(min(n, held[w]) for w, n in p.counts.items()) < p.least or len(p.words) - p.common(words)[-1].bit_count() < p.least:
+                    continue
+                for first, last, wrong, right in p.places(words, self.templates[p.template].needs):
+                    found.add((2 * wrong - right, first, last, p.template))
+            ranked = []
+            for score, first, last, k in found:
+                start, end = places[lo + first][0], places[lo + last][1]
+                if (gain := self.reduction(k, text[start:end])) >= LEAST:
+                    ranked.append((score, -gain, k, start, end))
+            taken: list[tuple[int, int, str, float]] = []
+            for _, loss, k, start, end in sorted(ranked):
+                if all(end <= a or start >= b for a, b, *_ in taken):
+                    taken.append((start, end, self.templates[k].spdx, -loss))
+            out += sorted(taken)
+        return len(runs), out
+
+    def name(self, text: str) -> tuple[str, float] | None:
+        """The licence that a text's first confirmed passage states and the size reduction by its template."""
+        found = self.scan(text)[1]
+        return found[0][2:] if found else None
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -124,14 +177,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         for batch in batches:
             counts, found = [], []
             for value in batch.column(1):
-                text = value.as_py() or ""
-                spans = blocks(text) if text else []
-                own = []
-                for a, b in spans:
-                    if (hit := scanner.name(text[a:b])) is not None:
-                        own.append({"start": a, "end": b, "spdx": hit[0], "reduction": hit[1]})
-                counts.append(len(spans))
-                found.append(own)
+                n, own = scanner.scan(value.as_py() or "")
+                counts.append(n)
+                found.append([dict(zip(("start", "end", "spdx", "reduction"), x, strict=True)) for x in own])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(found, pa.list_(place))], ["id", "n_blocks", "found"]
             )

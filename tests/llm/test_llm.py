@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -137,6 +138,21 @@ def test_license_scan(spark, docs):
     assert license_scan.report(empty(spark)).count() == 0
 
 
+def test_license_texts_in_every_layout(spark):
+    """Wrapped and commented licences, a phrase in a long line, and licences in a row."""
+    bsd, mit, isc = (next(p for t in license_scan.TEMPLATES if t.spdx == k for p in t.passages if len(p) > 150) for k in ("BSD-3-Clause", "MIT", "ISC"))
+    flat = {k: " ".join(p.split()) for k, p in (("BSD-3-Clause", bsd), ("MIT", mit), ("ISC", isc))}
+    wrap = lambda t, mark, width: "\n".join(mark + x for x in textwrap.wrap(t, width))
+    cases = [(wrap(t, mark, width), k) for k, t in flat.items() for mark, width in (("", 80), (" * ", 72), ("# ", 30))]
+    cases += [("x y " * 300 + "Released under the MIT License. " + "z w " * 300, "MIT")]
+    cases += [("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", "Apache-2.0,MIT")]
+    cases += [("Released under the MIT License. " + "x y " * 260 + "Licensed under the ISC License.", "ISC,MIT")]
+    cases += [(cases[0][0] + "\n\n" + cases[3][0], "BSD-3-Clause,MIT"), (flat["MIT"][: len(flat["MIT"]) // 2], "")]
+    got = by_id(license_scan.report(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")))
+    assert [got[i].licenses for i in range(len(cases))] == [k for _, k in cases]
+    assert got[len(cases) - 2].n_confirmed == 2
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(7, PASSAGE), (11, "a b"), (3, None), (4, " ,. "), (7, PASSAGE)], "item_id long, text string")
     got = by_id(decontaminate.report(docs, items))
