@@ -788,19 +788,23 @@ def cnn_forward(spark, sf_dir):
     return _kernel(spark, sf_dir, read, "digits string, date_prob double")
 
 
+def _photographs(spark, sf_dir) -> DataFrame:
+    """A drawn photograph for each user of events."""
+    return Z.scenes(table(spark, sf_dir, "events"), "user_id").select("image_id", "image")
+
+
 @query()
 def line_candidates(spark, sf_dir):
     from daftar.plans import recognise as P
 
-    cards = P.cards(Z.scenes(spark, 2).select("image_id", "image"))
-    return P.line_boxes(cards).select("image_id", "x", "y", "width", "height")
+    return P.line_boxes(P.cards(_photographs(spark, sf_dir))).select("image_id", "x", "y", "width", "height")
 
 
 @query()
 def warp_card(spark, sf_dir):
     from daftar.plans import recognise as P
 
-    return P.cards(Z.scenes(spark, 2).select("image_id", "image")).select("image_id", "rectified", "w", "h", "error")
+    return P.cards(_photographs(spark, sf_dir)).select("image_id", "rectified", "w", "h", "error")
 
 
 @query()
@@ -809,4 +813,4 @@ def recognise_images(spark, sf_dir):
     from daftar.plans import recognise as P
     from daftar.vision import network
 
-    return P.recognise(Z.scenes(spark, 1).select("image_id", "image"), network.dump(network.synthetic()))
+    return P.recognise(_photographs(spark, sf_dir), network.dump(network.synthetic()))

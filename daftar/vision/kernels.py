@@ -294,21 +294,24 @@ def perspective(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.append(np.linalg.solve(np.array(rows, float), np.array(right, float)), 1).reshape(3, 3)
 
 
-def warp(image: np.ndarray, matrix: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bicubic perspective warp; ``matrix`` maps the source to the result, edges are repeated."""
-    x, y = np.meshgrid(np.arange(width, dtype=float), np.arange(height, dtype=float))
+def warp(image: np.ndarray, matrix: np.ndarray, width: int, height: int, strip: int = 32) -> np.ndarray:
+    """Bicubic perspective warp; ``matrix`` maps the source to the result, edges are repeated.  Made in strips of rows that fit a cache."""
     back = np.linalg.inv(matrix)
-    w = back[2, 0] * x + back[2, 1] * y + back[2, 2]
-    u, v = (back[0, 0] * x + back[0, 1] * y + back[0, 2]) / w, (back[1, 0] * x + back[1, 1] * y + back[1, 2]) / w
-    bu, bv = np.floor(u).astype(int), np.floor(v).astype(int)
     out = np.zeros((height, width))
     rows, cols = image.shape
     source = image.astype(float)
-    for j in range(-1, 3):
-        wy = _cubic(np.abs(v - bv - j))
-        yy = np.clip(bv + j, 0, rows - 1)
-        for i in range(-1, 3):
-            out += wy * _cubic(np.abs(u - bu - i)) * source[yy, np.clip(bu + i, 0, cols - 1)]
+    for top in range(0, height, strip):
+        part = out[top : top + strip]
+        x, y = np.meshgrid(np.arange(width, dtype=float), np.arange(top, top + len(part), dtype=float))
+        w = back[2, 0] * x + back[2, 1] * y + back[2, 2]
+        u, v = (back[0, 0] * x + back[0, 1] * y + back[0, 2]) / w, (back[1, 0] * x + back[1, 1] * y + back[1, 2]) / w
+        bu, bv = np.floor(u).astype(int), np.floor(v).astype(int)
+        across = [(_cubic(np.abs(u - bu - i)), np.clip(bu + i, 0, cols - 1)) for i in range(-1, 3)]
+        for j in range(-1, 3):
+            wy = _cubic(np.abs(v - bv - j))
+            yy = np.clip(bv + j, 0, rows - 1)
+            for wx, xx in across:
+                part += wy * wx * source[yy, xx]
     return saturate(out)
 
 
