@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-For each language a bounded sample of labelled texts gives the words that stand in
+For each language a bounded sample of labelled texts, taken whole, gives the words that stand in
 most of its documents, and these become the language's raw-content zstandard
 dictionary, the commonest last.  A word stays only where its share of documents is
 the largest of all languages, so a passage in another language doesn't teach it.
@@ -24,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents in a language's sample, and characters of each that count.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 1500
+#: Documents in a language's sample; their whole texts count.
+SAMPLE_DOCS = 400
 #: Least documents of the sample that have a word, and bytes of a dictionary.
 LEAST_DOCS, DICTIONARY_BYTES = 2, 16_000
 #: More languages than this are refused; it bounds what the driver gathers and broadcasts.
@@ -54,7 +54,7 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Of n rows, about 3 samples' worth lie below this hash; the smallest of them are the sample.
     top = {k: -(2**63) + int(2**64 * min(1.0, 3 * SAMPLE_DOCS / n)) - 1 for k, n in counts.items()}
     limit = F.element_at(F.create_map(*(F.lit(x) for kv in top.items() for x in kv)), F.col("lang"))
-    near = rows.where(place <= limit).groupBy("lang", place.alias("place"), "id").agg(F.min(F.substring("t", 1, SAMPLE_CHARS)).alias("t"))
+    near = rows.where(place <= limit).groupBy("lang", place.alias("place"), "id").agg(F.min("t").alias("t"))
     first = Window.partitionBy("lang").orderBy("place", "id")
     sample = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_DOCS)
     own = sample.select("lang", F.explode(F.array_distinct(F.split(F.ltrim(letters(F.col("t"))), " "))).alias("word"))

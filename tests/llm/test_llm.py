@@ -234,6 +234,19 @@ def test_language_id(spark):
     assert langid.report(frame.where("false")).count() == 0
 
 
+def test_language_id_learns_from_whole_texts(spark):
+    """Documents that open with a long header in another language still teach their own words."""
+    rng = random.Random(6)
+    lexicon = {"aa": ["stone", "bridge", "river", "walker", "night"], "bb": ["pierre", "rivière", "nuit", "marcheur", "pont"]}
+    header = {"aa": "", "bb": " ".join(rng.choices(lexicon["aa"], k=400)) + " "}
+    texts = {i: " ".join(rng.choices(lexicon["aa" if i % 2 else "bb"], k=300)) for i in range(80)}
+    rows = [(i, header["aa" if i % 2 else "bb"] * (i < 60) + t, ("aa" if i % 2 else "bb") if i < 60 else None) for i, t in texts.items()]
+    learned = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(lexicon["bb"]) <= set(learned["bb"].decode().split())
+    got = by_id(langid.predict(spark.createDataFrame(rows[60:], "doc_id long, text string, lang string"), learned))
+    assert all(r.lang_pred == ("aa" if i % 2 else "bb") for i, r in got.items())
+
+
 def test_bagminhash_is_unbiased():
     rng, gaps = random.Random(3), []
     for t in range(40):
