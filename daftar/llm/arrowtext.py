@@ -146,3 +146,22 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         acc = acc * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + n]
     out[:n] = mix(acc)
     return out
+
+
+def prefix_hashes(seq: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... values of a sequence, from which those of its parts follow."""
+    out = np.zeros(len(seq) + 1, np.uint64)
+    np.cumsum(mix(seq) * _power_table(_BASE, len(seq)), out=out[1:])
+    return out
+
+
+def same_length(one: np.ndarray, i: np.ndarray, two: np.ndarray, j: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many values from i of one sequence equal those from j of another, given prefix hashes; ``least`` are known to, ``most`` may."""
+    powers = _power_table(_BASE, max(len(one), len(two)))
+    lo, hi = least.copy(), most.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi + 1) >> 1
+        equal = (one[i + mid] - one[i]) * powers[j] == (two[j + mid] - two[j]) * powers[i]
+        lo = np.where(open_ & equal, mid, lo)
+        hi = np.where(open_ & ~equal, mid - 1, hi)
+    return lo
