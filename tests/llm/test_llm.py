@@ -242,7 +242,8 @@ def test_language_id_learns_from_whole_texts(spark):
     texts = {i: " ".join(rng.choices(lexicon["aa" if i % 2 else "bb"], k=300)) for i in range(80)}
     rows = [(i, header["aa" if i % 2 else "bb"] * (i < 60) + t, ("aa" if i % 2 else "bb") if i < 60 else None) for i, t in texts.items()]
     learned = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert set(lexicon["bb"]) <= set(learned["bb"].decode().split())
+    contents = {r.lang: bytes(r.content).decode().split() for r in learned.collect()}
+    assert set(lexicon["bb"]) <= set(contents["bb"])
     got = by_id(langid.predict(spark.createDataFrame(rows[60:], "doc_id long, text string, lang string"), learned))
     assert all(r.lang_pred == ("aa" if i % 2 else "bb") for i, r in got.items())
 
