@@ -15,14 +15,18 @@ them agree on, and components are formed.  Only members outside a bucket's main
 are looked at further: their sketches meet the bucket's others in blocks of bounded size,
 inside tasks, and the likeliest partners in other components are compared first, then all
 that the sketches leave possible.  A pair counts only after its whole multisets have been
-compared, and no such pair between components is left out.
+compared, and no such pair between components is left out but by chance: a pair at the threshold
+misses all bands, or is ruled out by sketches, with a chance of 6e-8, and pairs above it more seldom.
 
 Exact copies are one node from the start, so is any text however often it occurs.
 Large tables always meet tables with one row a key, which lets hot keys be split.
 Texts, shingles and bands are told apart by 64-bit hashes (shingles within a task by 48 bits).
 
 Defined cases: texts that are equal, empty ones too, share a class; otherwise a text without
-words has no links; null text is a class by itself; repeated rows are copies.
+words has no links; null text is a class by itself; repeated rows are copies; a very long text
+counts whole; an empty table gives an empty one.  Of a class the row with the smallest id stays, of
+equal ids the text with the smallest hash, of equal rows any one; a null id comes last.  Extra
+columns of any name pass through ``keep_one`` and don't reach ``report``.
 """
 
 from __future__ import annotations
@@ -46,8 +50,9 @@ BANDS = REGISTERS // ROWS
 #: Similarity from which documents are near-duplicates, in tenths.
 TENTHS = 8
 #: Registers of the sketches of documents that share a band; a byte of each is kept.
-FINE_REGISTERS = 512
-#: A pair whose sketches agree in fewer registers isn't compared (four standard errors below the threshold).
+FINE_REGISTERS = 1024
+#: A pair whose sketches agree in fewer registers isn't compared.  It lies 5.7 standard errors below the
+#: threshold, so a pair at 0.8 is lost with a chance of 1e-8, less than the bands lose.
 LEAST_AGREEING = 0.729
 #: Members of a bucket in a block, and partners tried first for a member, component and block.
 BLOCK, TRIED_FIRST = 512, 1
