@@ -50,10 +50,10 @@ BANDS = REGISTERS // ROWS
 #: Similarity from which documents are near-duplicates, in tenths.
 TENTHS = 8
 #: Registers of the sketches of documents that share a band; a byte of each is kept.
-FINE_REGISTERS = 1024
+FINE_REGISTERS = 512
 #: A pair whose sketches agree in fewer registers isn't compared.  It lies 5.7 standard errors below the
 #: threshold, so a pair at 0.8 is lost with a chance of 1e-8, less than the bands lose.
-LEAST_AGREEING = 0.729
+LEAST_AGREEING = 0.70
 #: Members of a bucket in a block, and partners tried first for a member, component and block.
 BLOCK, TRIED_FIRST = 512, 1
 #: Rows given to Python at once: pairs of blocks (0.8 MB each), and pairs of texts.
