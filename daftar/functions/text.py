@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daftar.config import CalendarRange
@@ -44,13 +44,32 @@ def format_date(year: Column, month: Column, day: Column) -> Column:
     return F.coalesce(made, F.lit(""))
 
 
+DATE = "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$"
+
+
+def date_parts(repaired: Column) -> Column:
+    """``struct<year,month,day>`` of repaired date text; parts are null where it has another form."""
+    part = lambda i, name: F.regexp_extract(repaired, DATE, i).try_cast("int").alias(name)
+    return F.struct(part(1, "year"), part(2, "month"), part(3, "day"))
+
+
+def with_dates(rows: DataFrame, text: Column, years: CalendarRange = CalendarRange()) -> DataFrame:
+    """The rows whose text is a valid date, with year, month, day and formatted.
+
+    The parts are generated, one row each, so that the test of the date can't be pushed below them and
+    the text is repaired once.
+    """
+    repaired = rows.withColumn("repaired", repair_structure(text))
+    parts = repaired.select("*", F.inline(F.array(date_parts(F.col("repaired"))))).drop("repaired")
+    y, m, d = F.col("year"), F.col("month"), F.col("day")
+    return parts.where(is_valid_date(y, m, d, years)).withColumn("formatted", format_date(y, m, d))
+
+
 def parse_date(text: Column, years: CalendarRange = CalendarRange()) -> Column:
-    """``struct<year,month,day,formatted>`` of valid date text, else null."""
-    pattern = "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$"
+    """``struct<year,month,day,formatted>`` of valid date text, else null; for whole tables see ``with_dates``."""
 
     def made(p: Column) -> Column:
         date = F.struct(*(p[k].alias(k) for k in ("year", "month", "day")), format_date(p["year"], p["month"], p["day"]).alias("formatted"))
         return F.when(is_valid_date(p["year"], p["month"], p["day"], years), date)
 
-    part = lambda s, i, name: F.regexp_extract(s, pattern, i).try_cast("int").alias(name)
-    return let(repair_structure(text), lambda s: let(F.struct(part(s, 1, "year"), part(s, 2, "month"), part(s, 3, "day")), made))
+    return let(repair_structure(text), lambda s: let(date_parts(s), made))

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from daftar.config import DEFAULT
 
 
+def since_reset(frames: DataFrame) -> DataFrame:
+    """The frames of each session after its last reset (a frame whose ``reset`` is true clears what was seen before it)."""
+    last = F.max(F.when(F.col("reset"), F.col("frame"))).over(Window.partitionBy("session"))
+    out = frames.withColumn("last_reset", last)
+    return out.where(F.col("last_reset").isNull() | (F.col("frame") >= F.col("last_reset"))).drop("last_reset", "reset")
+
+
 def vote_table(frames: DataFrame) -> DataFrame:
     """One row a session and date: frames, summed confidence, and the last frame's confidence."""
     return (

@@ -65,3 +65,27 @@ def gap_clusters(boxes: DataFrame, share: float = 0.5) -> DataFrame:
     marked = boxes.join(median, "sheet_id").withColumn("right", right)
     new = F.when(F.col("x") - F.col("right") > F.greatest(F.lit(4.0), F.col("median") * share), 1).otherwise(0)
     return marked.withColumn("new", new).withColumn("cluster", F.sum("new").over(by)).drop("new", "right", "median")
+
+
+def label_checks(glyphs: DataFrame, labels: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """``(sheet_id, reason)``: why the labels of a sliced sheet can't be trusted; null if nothing speaks against them.
+
+    Glyphs are (sheet_id, seq, x, width, height, holes, slanted), labels (sheet_id, labels): a string in
+    order of x.  A zero must be a ring and a ring a zero, a one narrow, a slash slanted.
+    """
+    tall = F.when((F.col("holes") == 0) & (F.col("height") > 15), F.col("height"))
+    sheets = glyphs.groupBy("sheet_id").agg(F.count("*").alias("n"), F.coalesce(F.percentile(tall, F.lit(0.5)), F.lit(24.0)).alias("median"))
+    by = Window.partitionBy("sheet_id").orderBy("x", "seq")
+    rows = glyphs.withColumn("place", F.row_number().over(by)).join(sheets.join(labels, "sheet_id"), "sheet_id")
+    label, ratio = F.substring("labels", F.col("place"), F.lit(1)), F.col("height") / F.col("median")
+    ring = (F.col("holes") == 1) & (ratio < 0.62)
+    narrow = (F.col("holes") == 0) & (F.col("width") / F.greatest("height", F.lit(1)) < 0.42)
+    slash = (F.col("holes") == 0) & (ratio >= 0.85) & F.col("slanted")
+    against = (
+        F.when((label == "0") & ~ring, "zero is no ring").when((label == "1") & ~narrow, "one isn't narrow")
+        .when((label == "/") & ~slash, "slash isn't slanted").when(~label.isin("0", "1", "/") & ring, "ring isn't a zero")
+    )
+    first = rows.withColumn("against", against).groupBy("sheet_id").agg(
+        F.first("n").alias("n"), F.first(F.length("labels")).alias("due"), F.min_by("against", F.when(F.col("against").isNotNull(), F.col("place"))).alias("against")
+    )
+    return first.select("sheet_id", F.when(F.col("n") != F.col("due"), "other number of labels").otherwise(F.col("against")).alias("reason"))

@@ -38,3 +38,28 @@ def quantised(weights: DataFrame) -> DataFrame:
     scales = weights.groupBy("layer", "out").agg(scale.alias("scale"))
     q = F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(F.col("w") / F.col("scale"))))
     return weights.join(scales, ["layer", "out"]).select("layer", "out", "pos", q.cast("int").alias("q"), "scale")
+
+
+def masked_loss(rows: DataFrame) -> DataFrame:
+    """One row: the training loss of reads (truth, probs of 80, date_prob), as a measure.
+
+    Cross-entropy of the digits over the dates alone, plus that of the date head over all rows;
+    probabilities are kept 1e-7 away from 0 and 1.
+    """
+    clip = lambda p: F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p))
+    digit = lambda i: F.substring("truth", i + 1, F.lit(1)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: -F.ln(clip(F.get("probs", i * 10 + digit(i)))))
+    own = F.when(F.col("truth").isNotNull(), F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 8)
+    date = clip(F.col("date_prob"))
+    head = -F.when(F.col("truth").isNotNull(), F.ln(date)).otherwise(F.ln(1 - date))
+    sums = rows.select(own.alias("own"), head.alias("head")).agg(F.coalesce(F.sum("own"), F.lit(0.0)).alias("s"), F.count("own").alias("n"), F.avg("head").alias("date_loss"))
+    out = sums.select((F.col("s") / (F.col("n") + 1e-6)).alias("digit_loss"), "date_loss")
+    return out.withColumn("loss", F.col("digit_loss") + F.col("date_loss"))
+
+
+def split_names(rows: DataFrame, name: F.Column, held: tuple[str, ...]) -> DataFrame:
+    """Add ``part``: ``held`` for names with one of the given parts, else ``train``; if none were left to train on, all are."""
+    out = rows.withColumn("is_held", F.lower(name).rlike("|".join(held)) if held else F.lit(False))
+    left = out.agg(F.coalesce(F.max(~F.col("is_held")), F.lit(False)).alias("some"))  # one row
+    part = F.when(F.col("is_held") & F.col("some"), "held").otherwise("train")
+    return out.crossJoin(F.broadcast(left)).withColumn("part", part).drop("is_held", "some")

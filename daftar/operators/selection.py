@@ -1,9 +1,10 @@
 """From accepted reads to one result per card.
 
 Input rows are reads: card_id, read_id (their order), year, month, day, formatted,
-confidence, date_prob, y_min, roi_w (each of the last three may be null).  Groups are
-reduced with aggregates whose states are single rows (``max_by``), so a card with very many
-reads is combined before it is shuffled, and no group is gathered into an array.
+confidence, date_prob, y_min, roi_w (each of the last three may be null).  Reads are reduced
+to one row a card and date by aggregates whose states are single rows (``max_by``), so a card with
+very many reads is combined before it is shuffled.  What is left of a card, a row a date of the
+calendar at most, is decided in windows over the card, all in one shuffle.
 """
 
 from __future__ import annotations
@@ -53,15 +54,16 @@ def _is_full(config: Config) -> Column:
     return F.coalesce(F.col("roi_w") >= config.selection.full_strip, F.lit(True))
 
 
-def vote(reads: DataFrame) -> DataFrame:
+def vote(reads: DataFrame, tight: Column | None = None) -> DataFrame:
     """One row a card and date: votes, sums, and the read with the highest score (the first of equals)."""
-    best = F.max_by(F.struct(*PARTS), F.struct(F.col("confidence"), -F.col("read_id")))
+    best = F.max_by(F.struct("read_id", *PARTS), F.struct(F.col("confidence"), -F.col("read_id")))
+    more = [] if tight is None else [F.max(tight).alias("tight")]
     votes = reads.groupBy("card_id", F.col("formatted").alias("date")).agg(
-        F.count("*").alias("votes"), F.sum("confidence").alias("total_confidence"), F.min("read_id").alias("first_read"), best.alias("best")
+        F.count("*").alias("votes"), F.sum("confidence").alias("total_confidence"), F.min("read_id").alias("first_read"), best.alias("best"), *more
     )
     return votes.select(
         "card_id", "best.*", "votes", "total_confidence",
-        (F.col("total_confidence") / F.col("votes")).alias("average_confidence"), "first_read",
+        (F.col("total_confidence") / F.col("votes")).alias("average_confidence"), "first_read", *(["tight"] if more else []),
     )
 
 
@@ -72,53 +74,51 @@ def rank(voted: DataFrame) -> DataFrame:
 
 
 def _row() -> Column:
-    return F.struct(*PARTS, "votes", "average_confidence")
+    return F.struct("read_id", *PARTS, "votes", "average_confidence")
 
 
 def _decide(voted: DataFrame, config: Config) -> DataFrame:
-    """A row a card: n, winner, birth and topmost rows."""
+    """Each date with its rank and its card's n, winner, earliest and topmost dates."""
     young, y = F.col("year") <= config.selection.cutoff_year, row_position(F.col("y_min"))
     prob = F.coalesce("date_prob", F.lit(0.0))
-    return voted.groupBy("card_id").agg(
-        F.count("*").alias("n"),
-        F.max_by(_row(), F.struct(young, _is_full(config), F.col("confidence"), prob, -y, -F.col("first_read"))).alias("winner"),
-        F.min_by(_row(), F.struct(~young, F.col("year"), y, -F.col("confidence"), F.col("first_read"))).alias("earliest"),
-        F.min_by(_row(), F.struct(y, F.col("year"), -F.col("confidence"), F.col("first_read"))).alias("topmost"),
-    )
+    card = Window.partitionBy("card_id")
+    return rank(voted).select(
+        "*", F.count("*").over(card).alias("n"),
+        F.max_by(_row(), F.struct(young, _is_full(config), F.col("confidence"), prob, -y, -F.col("first_read"))).over(card).alias("winner"),
+        F.min_by(_row(), F.struct(~young, F.col("year"), y, -F.col("confidence"), F.col("first_read"))).over(card).alias("earliest"),
+        F.min_by(_row(), F.struct(y, F.col("year"), -F.col("confidence"), F.col("first_read"))).over(card).alias("topmost"),
+    )
+
+
+def _one_each(decided: DataFrame) -> DataFrame:
+    """A row a card."""
+    return decided.where(F.col("rank") == 1)
 
 
 def select_best(voted: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The winning date of each card: early years first, full strips first, then the surest, then the upper row."""
-    return _decide(voted, config).select("card_id", "winner.*")
+    return _one_each(_decide(voted, config)).select("card_id", "winner.*")
 
 
 def _decide_all(voted: DataFrame, config: Config) -> DataFrame:
+    """Each date with all that is decided about its card: also the latest date below the topmost and the surest above the winner."""
     s = config.selection
-    cards = _decide(voted, config)
     y = row_position(F.col("y_min"))
     above = (F.col("formatted") != F.col("winner.formatted")) & (
         F.coalesce("y_min", F.lit(1.0)) < F.coalesce("winner.y_min", F.lit(1.0)) - s.row_gap
     )
+    rest = F.col("formatted") != F.col("topmost.formatted")
     late = F.struct(F.col("year"), -y, F.col("confidence"), -F.col("first_read"))
     sure = F.struct(F.col("confidence"), -F.col("year"), -F.col("first_read"))
-    beside = (
-        voted.join(cards.select("card_id", "winner", "topmost"), "card_id")
-        .groupBy("card_id")
-        .agg(
-            F.max_by(_row(), F.when(F.col("formatted") != F.col("topmost.formatted"), late)).alias("latest"),
-            F.max_by(_row(), F.when(above, sure)).alias("upper"),
-            F.max(F.col("formatted") != F.col("topmost.formatted")).alias("has_rest"),
-            F.max(above).alias("has_upper"),
-        )
+    card = Window.partitionBy("card_id")
+    return _decide(voted, config).select(
+        "*", F.max_by(F.when(rest, _row()), F.when(rest, late)).over(card).alias("latest"), F.max_by(F.when(above, _row()), F.when(above, sure)).over(card).alias("upper")
     )
-    out = cards.join(beside, "card_id")
-    out = out.withColumn("latest", F.when(F.col("has_rest"), F.col("latest")))
-    return out.withColumn("upper", F.when(F.col("has_upper"), F.col("upper"))).drop("has_rest", "has_upper")
 
 
 def assign_fields(voted: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Birth and expiry of each card: (card_id, birth, expiry, swapped, method, sequence_error)."""
-    return _fields(_decide_all(voted, config), config).select(
+    return _one_each(_fields(_decide_all(voted, config), config)).select(
         "card_id", F.col("birth.formatted").alias("birth"), F.col("expiry.formatted").alias("expiry"), "swapped", "method", "sequence_error"
     )
 
@@ -138,7 +138,7 @@ def _fields(decided: DataFrame, config: Config) -> DataFrame:
 
 def takeover(voted: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The winner of each card after an upper row of close score may have taken over."""
-    return _takeover(_decide_all(voted, config), config).select(
+    return _one_each(_takeover(_decide_all(voted, config), config)).select(
         "card_id", F.col("winner.formatted").alias("winner"), F.col("final.formatted").alias("final")
     )
 
@@ -149,33 +149,35 @@ def _takeover(decided: DataFrame, config: Config) -> DataFrame:
     return decided.withColumn("final", F.when(F.coalesce(close, F.lit(False)), F.col("upper")).otherwise(F.col("winner")))
 
 
-def finalise(reads: DataFrame, attempts: DataFrame | None = None, tight: Column | None = None, config: Config = DEFAULT) -> DataFrame:
-    """One row a card: best date (null rather than a guess), birth, expiry, method.
-
-    ``attempts`` (card_id, formatted, y_min, roi_w, confidence, attempt_id) are what may be shown for
-    the winner; without them the reads themselves are.  ``tight`` tells, by columns of the
-    reads, whether the user had cut out the line.
-    """
+def _settled(reads: DataFrame, tight: Column | None, config: Config) -> DataFrame:
+    """Each date of each card, with the card's final, birth and expiry dates and its method."""
     s = config.selection
-    voted = vote(reads)
+    voted = vote(reads, F.lit(False) if tight is None else tight)
     decided = _fields(_takeover(_decide_all(voted, config), config), config)
-    if tight is None:
-        decided = decided.withColumn("tight", F.lit(False))
-    else:
-        decided = decided.join(reads.groupBy("card_id").agg(F.max(tight).alias("tight")), "card_id")
+    cut_out = F.max("tight").over(Window.partitionBy("card_id"))
     single, winner = F.col("method") == "single", F.col("winner")
-    lone = single & ~F.col("tight") & (winner["year"] > s.cutoff_year) & (F.coalesce(winner["y_min"], F.lit(0.0)) > s.lone_y)
-    decided = decided.withColumn("lone", lone)
-    out = decided.select(
-        "card_id", "final", "swapped", "sequence_error", "n",
+    lone = single & ~F.col("cut_out") & (winner["year"] > s.cutoff_year) & (F.coalesce(winner["y_min"], F.lit(0.0)) > s.lone_y)
+    decided = decided.withColumn("cut_out", cut_out).withColumn("lone", lone)
+    return decided.select(
+        "card_id", "formatted", "confidence", "votes", "rank", "final", "swapped", "sequence_error", "n",
         F.when(~F.col("lone"), F.col("birth.formatted")).alias("birth"),
         F.when(F.col("lone"), winner["formatted"]).otherwise(F.col("expiry.formatted")).alias("expiry"),
-        F.when(F.col("lone"), "single-expiry").when(single & F.col("tight"), "single-crop").otherwise(F.col("method")).alias("method"),
+        F.when(F.col("lone"), "single-expiry").when(single & F.col("cut_out"), "single-crop").otherwise(F.col("method")).alias("method"),
     )
+
+
+def finalise(reads: DataFrame, attempts: DataFrame | None = None, tight: Column | None = None, config: Config = DEFAULT) -> DataFrame:
+    """One row a card: best date (null rather than a guess), birth, expiry, method.
+
+    ``attempts`` (card_id, formatted, y_min, roi_w, confidence, attempt_id) are what may be shown for
+    the winner; without them the reads themselves are, and the surest of its date is its own.
+    ``tight`` tells, by columns of the reads, whether the user had cut out the line.
+    """
+    out = _one_each(_settled(reads, tight, config))
     if attempts is None:
-        attempts = reads.withColumn("attempt_id", F.col("read_id"))
-    shown = attach_attempt(out.select("card_id", "final"), attempts)
-    out = out.join(shown, "card_id", "left")
+        out = out.withColumn("attempt_id", F.col("final.read_id"))
+    else:
+        out = out.join(attach_attempt(out.select("card_id", "final"), attempts), "card_id", "left")
     ok = ~F.col("sequence_error") & (F.col("method") != "single-expiry") & F.col("attempt_id").isNotNull()
     return out.select(
         "card_id", F.when(ok, F.col("final.formatted")).alias("best"), F.when(ok, F.col("final.confidence")).alias("confidence"),
@@ -195,10 +197,10 @@ def attach_attempt(winners: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
-def tag(voted: DataFrame, results: DataFrame) -> DataFrame:
-    """Each ranked date with its field: birth, expiry or unknown."""
+def tag(reads: DataFrame, tight: Column | None = None, config: Config = DEFAULT) -> DataFrame:
+    """Each ranked date of each card with its field: birth, expiry or unknown."""
     f = F.when(F.col("formatted") == F.col("birth"), "birth").when(F.col("formatted") == F.col("expiry"), "expiry").otherwise("unknown")
-    return rank(voted).join(results.select("card_id", "birth", "expiry"), "card_id").withColumn("field", f).drop("birth", "expiry")
+    return _settled(reads, tight, config).select("card_id", "formatted", "confidence", "votes", "rank", f.alias("field"))
 
 
 def alternatives(voted: DataFrame) -> DataFrame:

@@ -236,8 +236,7 @@ def final_result(spark, sf_dir):
     "WHEN r.formatted = x.expiry THEN 'expiry' ELSE 'unknown' END AS field FROM ranked r JOIN results x USING (card_id)"
 )
 def tagged_dates(spark, sf_dir):
-    reads = accepted_reads(spark, sf_dir)
-    return S.tag(S.vote(reads), S.finalise(reads)).select("card_id", "formatted", "rank", "field")
+    return S.tag(accepted_reads(spark, sf_dir)).select("card_id", "formatted", "rank", "field")
 
 
 @query(
@@ -370,7 +369,14 @@ def topk_boxes(spark, sf_dir):
     return B.nearest_to_row(line_boxes(spark, sf_dir).withColumn("seq", F.col("vec_id")), F.lit(ROWS)).select("image_id", "vec_id", "place")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS (SELECT image_id, vec_id, x, y, width AS w, height AS h, row_number() OVER (PARTITION BY image_id ORDER BY vec_id) AS place FROM ({BOX_SQL})),
+s AS (SELECT image_id, CAST(0 AS BIGINT) AS place, CAST([] AS STRUCT(vec_id BIGINT, x INT, y INT, w INT, h INT)[]) AS kept FROM b GROUP BY image_id
+  UNION ALL SELECT s.image_id, b.place, CASE WHEN len(list_filter(kept, lambda k:
+    greatest(0, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y)) * 1.6::DOUBLE > 0.6::DOUBLE * (k.w * k.h + b.w * b.h))) = 0
+    THEN list_append(kept, {{'vec_id': b.vec_id, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}}) ELSE kept END FROM s JOIN b ON b.image_id = s.image_id AND b.place = s.place + 1)
+SELECT image_id, unnest(kept).vec_id AS vec_id FROM s QUALIFY place = max(place) OVER (PARTITION BY image_id)"""
+)
 def nms_boxes(spark, sf_dir):
     rows = line_boxes(spark, sf_dir).withColumnRenamed("vec_id", "seq").drop("label")
     return B.suppress_overlaps(rows).select("image_id", F.col("seq").alias("vec_id"))
@@ -580,21 +586,6 @@ def quantise(spark, sf_dir):
     return E.quantised(rows.withColumn("w", F.col("w").cast("double"))).withColumn("scale", F.round("scale", 9))
 
 
-TEMPLATE_SQL = "SELECT vec_id AS t, label AS kind, px FROM g WHERE vec_id < 20"
-
-
-@query(
-    f"""WITH g AS ({PX_SQL}), t AS ({TEMPLATE_SQL}), p AS (SELECT g.vec_id, t.t, t.kind, unnest(g.px) AS x, unnest(t.px) AS y FROM g CROSS JOIN t),
-c AS (SELECT vec_id, t, kind, corr(x, y) AS r FROM p GROUP BY ALL) SELECT vec_id, kind, round(max(r), 6) AS best FROM c GROUP BY vec_id, kind"""
-)
-def template_scores(spark, sf_dir):
-    """The best correlation of each image with each kind of template; the templates are a fixed, small table."""
-    g = grids(spark, sf_dir)
-    t = g.where("vec_id < 20").select(F.col("label").alias("kind"), F.col("px").alias("q"))
-    r = g.crossJoin(F.broadcast(t)).select("vec_id", "kind", A.ncc(F.col("px"), F.col("q")).alias("r"))
-    return r.groupBy("vec_id", "kind").agg(r6(F.max("r")).alias("best"))
-
-
 @query(f"SELECT v AS level, count(*) AS n FROM (SELECT unnest(px) AS v FROM ({PX_SQL})) GROUP BY v")
 def histogram(spark, sf_dir):
     return spread(grids(spark, sf_dir), "px", "level").groupBy("level").agg(F.count("*").alias("n"))
@@ -735,29 +726,22 @@ def label_kinds(spark, sf_dir):
 
 
 def _kernel(spark: SparkSession, sf_dir: str, f, schema: str) -> DataFrame:
-    """A function of an 8x8 image over all embeddings, in Arrow batches."""
+    """A function of stacked 8x8 images (n, 8, 8) over all embeddings, in Arrow batches; it gives a column for each name."""
     import pandas as pd
 
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches):
         for b in batches:
-            rows = [(i, *f(np.array(p, np.uint8).reshape(8, 8))) for i, p in zip(b.vec_id, b.px, strict=True)]
-            yield pd.DataFrame(rows, columns=["vec_id", *(c.split()[0] for c in schema.split(", "))])
+            px = np.stack(b.px.to_numpy()).astype(np.uint8).reshape(-1, 8, 8) if len(b) else np.zeros((0, 8, 8), np.uint8)
+            yield pd.DataFrame({"vec_id": b.vec_id} | dict(zip(names, f(px), strict=True)))
 
     return grids(spark, sf_dir).select("vec_id", "px").mapInPandas(run, f"vec_id long, {schema}")
 
 
-@query()
-def count_holes(spark, sf_dir):
-    from daftar.vision import shapes
-
-    return _kernel(spark, sf_dir, lambda px: (len(shapes.holes(px, DEFAULT)), shapes.holes_by_threshold(px)), "holes int, holes_any int")
-
-
-@query()
-def digit_topology(spark, sf_dir):
-    from daftar.vision import shapes
-
-    return _kernel(spark, sf_dir, lambda px: ("+".join(r for d in "0135689" for r in shapes.topology_reasons(px, d, DEFAULT)),), "reasons string")
+def _each(*fs):
+    """Functions of one image as functions of a stack."""
+    return lambda px: tuple([f(x) for x in px] for f in fs)
 
 
 @query(
@@ -770,7 +754,7 @@ SELECT vec_id, CAST(v AS INT) AS threshold FROM b QUALIFY row_number() OVER (PAR
 def otsu_threshold(spark, sf_dir):
     from daftar.vision import kernels
 
-    return _kernel(spark, sf_dir, lambda px: (kernels.otsu(px),), "threshold int")
+    return _kernel(spark, sf_dir, _each(kernels.otsu), "threshold int")
 
 
 @query()
@@ -778,39 +762,72 @@ def cnn_forward(spark, sf_dir):
     """Reads of embeddings stretched to lines, by a network with synthetic weights."""
     from daftar.vision import kernels, network, preprocess
 
-    blob = network.dump(network.synthetic())
+    net = network.load(network.dump(network.synthetic()))
 
     def read(px):
-        line = preprocess.model_input(kernels.resize(px, 160, 32, "nearest"), DEFAULT)
-        probs, date = network.probabilities(network.load(blob), line[None])
-        return "".join(map(str, probs.reshape(8, 10).argmax(1))), float(date[0])
+        lines = [preprocess.model_input(kernels.resize(x, 160, 32, "nearest"), DEFAULT) for x in px]
+        probs, date = network.probabilities(net, np.stack(lines)) if lines else (np.zeros((0, 80)), np.zeros(0))
+        return ["".join(map(str, p)) for p in probs.reshape(-1, 8, 10).argmax(2)], date
 
     return _kernel(spark, sf_dir, read, "digits string, date_prob double")
 
 
+# --- photographs: one drawn for each user of events ---------------------------------------------------
+
+
 def _photographs(spark, sf_dir) -> DataFrame:
-    """A drawn photograph for each user of events."""
     return Z.scenes(table(spark, sf_dir, "events"), "user_id").select("image_id", "image")
 
 
-@query()
-def line_candidates(spark, sf_dir):
+def _cards(spark, sf_dir) -> DataFrame:
     from daftar.plans import recognise as P
+    from daftar.stages import Scratch
 
-    return P.line_boxes(P.cards(_photographs(spark, sf_dir))).select("image_id", "x", "y", "width", "height")
+    return Scratch(spark, "cards").write(P.cards(_photographs(spark, sf_dir)), P.IMAGES)
 
 
-@query()
-def warp_card(spark, sf_dir):
+DRAWN_SQL = f"""ym AS (SELECT id, CAST(1300 + {_draw("id", 116)} AS INT) AS y, CAST(1 + {_draw("id + 7", 12)} AS INT) AS m FROM (SELECT DISTINCT user_id AS id FROM events WHERE user_id IS NOT NULL)),
+drawn AS (SELECT CAST(id AS VARCHAR) AS image_id, y, m, CAST(1 + (id * 31 + 17) % {DAYS_SQL} AS INT) AS d FROM ym)"""
+
+
+@query(f"WITH {DRAWN_SQL} SELECT image_id, line, true AS found FROM drawn, (VALUES ('birth'), ('expiry')) v(line)")
+def line_candidates(spark, sf_dir):
+    """Whether each drawn date lies in a candidate box of its card, as it stands or upside down."""
     from daftar.plans import recognise as P
 
-    return P.cards(_photographs(spark, sf_dir)).select("image_id", "rectified", "w", "h", "error")
+    boxes = P.line_boxes(_cards(spark, sf_dir)).select("image_id", as_box().alias("b"))
+    width, height = 10 * 5 * (Z.CARD_DIGITS // 7) + 9 * Z.CARD_GAP, Z.CARD_DIGITS
+    right, found = int(0.88 * COLS), []
+    for line, share in Z.CARD_ROWS:
+        x, y = right - width, int(share * ROWS)
+        for x0, y0 in ((x, y), (COLS - x - width, ROWS - y - height)):
+            place = F.struct(F.lit(x0).alias("x"), F.lit(y0).alias("y"), F.lit(width).alias("width"), F.lit(height).alias("height"))
+            found.append((line, G.iou(F.col("b"), place)))
+    # a box frames its line loosely: it's some three times as large
+    per = [F.max(F.greatest(*(v for k, v in found if k == line)) > 0.25).alias(line) for line, _ in Z.CARD_ROWS]
+    return boxes.groupBy("image_id").agg(*per).unpivot("image_id", [line for line, _ in Z.CARD_ROWS], "line", "found")
 
 
-@query()
+@query(f"WITH {DRAWN_SQL} SELECT image_id, true AS rectified, 1200 AS w, 756 AS h, CAST(NULL AS VARCHAR) AS error FROM drawn")
+def warp_card(spark, sf_dir):
+    """Every drawn card is found and straightened to its standard size."""
+    return _cards(spark, sf_dir).select("image_id", "rectified", "w", "h", "error")
+
+
+@query(
+    f"WITH {DRAWN_SQL}, r AS (SELECT image_id, CASE WHEN y <= 1410 THEN {FORMAT_SQL} END AS best FROM drawn) "
+    "SELECT image_id, true AS rectified, CAST(NULL AS VARCHAR) AS error, best, best AS birth, CAST(NULL AS VARCHAR) AS expiry, CASE WHEN best IS NOT NULL THEN 'single' END AS method FROM r"
+)
 def recognise_images(spark, sf_dir):
-    """The whole plan over drawn scenes; synthetic weights read nothing, so dates are null."""
+    """The whole plan over all photographs, read with weights fitted to drawn digits; the SQL gives the dates that were drawn.
+
+    A year after 1410 isn't accepted; the lower row, an expiry, is left out beside an upper one.
+    """
+    from daftar.plans import reader
     from daftar.plans import recognise as P
-    from daftar.vision import network
 
-    return P.recognise(_photographs(spark, sf_dir), network.dump(network.synthetic()))
+    r = P.recognise(_photographs(spark, sf_dir), reader.fit(spark))
+    return r.select(F.col("card_id").alias("image_id"), "rectified", "error", "best", "birth", "expiry", "method")
+
+
+from daftar import image_queries  # noqa: E402, F401  registers its queries here

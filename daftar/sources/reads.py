@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.config import DEFAULT, Config
-from daftar.functions.text import parse_date, to_latin_digits
+from daftar.functions.text import to_latin_digits, with_dates
 
 #: The same text in both SQL dialects; six ways of writing a date.
 SYNTHETIC_READS_SQL = """
@@ -43,12 +43,7 @@ def synthetic_reads(events: DataFrame) -> DataFrame:
 
 def parsed_reads(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Reads whose text is a valid date, with its parts; reads that aren't are dropped, never guessed."""
-    return (
-        raw.withColumn("parsed", parse_date(F.col("raw"), config.calendar))
-        .where("parsed is not null")
-        .select("*", "parsed.year", "parsed.month", "parsed.day", "parsed.formatted")
-        .drop("parsed")
-    )
+    return with_dates(raw, F.col("raw"), config.calendar)
 
 
 def load_labels_csv(spark, path: str, files: DataFrame | None = None) -> DataFrame:

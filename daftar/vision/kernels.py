@@ -17,7 +17,7 @@ def to_gray(image: np.ndarray) -> np.ndarray:
     """Gray from red, green, blue (a fourth channel is ignored); gray passes through."""
     if image.ndim == 2:
         return image
-    return np.floor(image[..., :3].astype(float) @ np.array([0.299, 0.587, 0.114]) + 0.5).astype(np.uint8)
+    return ((image[..., :3].astype(np.int64) @ np.array([299, 587, 114]) + 500) // 1000).astype(np.uint8)
 
 
 def saturate(x: np.ndarray) -> np.ndarray:
@@ -111,22 +111,28 @@ def otsu(image: np.ndarray) -> int:
 
 
 def _slide(mask: np.ndarray, height: int, width: int, fold, outside: int) -> np.ndarray:
+    """Maxima or minima of windows, by folding shifted copies of doubling width."""
     out = mask
     for axis, size in ((0, height), (1, width)):
         before, after = size // 2, size - 1 - size // 2
         pad = [(0, 0), (0, 0)]
         pad[axis] = (before, after)
         p = np.pad(out, pad, constant_values=outside)
-        out = fold(np.lib.stride_tricks.sliding_window_view(p, size, axis=axis), axis=-1)
+        part = lambda x, lo, n, axis=axis: x[lo : lo + n] if axis == 0 else x[:, lo : lo + n]
+        n, have = mask.shape[axis], 1
+        while 2 * have <= size:
+            p = fold(part(p, 0, p.shape[axis] - have), part(p, have, p.shape[axis] - have))
+            have *= 2
+        out = fold(part(p, 0, n), part(p, size - have, n))
     return out
 
 
 def dilate(mask: np.ndarray, width: int, height: int) -> np.ndarray:
-    return _slide(mask, height, width, np.max, 0)
+    return _slide(mask, height, width, np.maximum, 0)
 
 
 def erode(mask: np.ndarray, width: int, height: int) -> np.ndarray:
-    return _slide(mask, height, width, np.min, 255 if mask.dtype != bool else 1)
+    return _slide(mask, height, width, np.minimum, 255 if mask.dtype != bool else 1)
 
 
 def close(mask: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -146,14 +152,15 @@ def edges(image: np.ndarray, low: float, high: float) -> np.ndarray:
     dx, dy = col[:, 2:] - col[:, :-2], row[2:] - row[:-2]
     size = np.abs(dx) + np.abs(dy)
     m = np.pad(size, 1)
-    r, c = np.indices(size.shape)
-    angle = np.mod(np.degrees(np.arctan2(dy, dx)), 180)
-    step = np.select(
-        [(angle < 22.5) | (angle >= 157.5), angle < 67.5, angle < 112.5],
-        [0, 1, 2], 3,
-    )
+    rows, cols = size.shape
+    crest = np.zeros(size.shape, bool)
+    at = np.flatnonzero(size > low)  # only these can be edges
+    r, c = at // cols, at % cols
+    angle = np.mod(np.degrees(np.arctan2(dy.ravel()[at], dx.ravel()[at])), 180)
+    step = np.select([(angle < 22.5) | (angle >= 157.5), angle < 67.5, angle < 112.5], [0, 1, 2], 3)
     sy, sx = np.array([0, 1, 1, 1])[step], np.array([1, 1, 0, -1])[step]
-    crest = (size > m[r + 1 - sy, c + 1 - sx]) & (size >= m[r + 1 + sy, c + 1 + sx])
+    own = size.ravel()[at]
+    crest.ravel()[at] = (own > m[r + 1 - sy, c + 1 - sx]) & (own >= m[r + 1 + sy, c + 1 + sx])
     weak, strong = crest & (size > low), crest & (size > high)
     label, n = components(weak, diagonal=True)
     keep = np.zeros(n + 1, bool)
@@ -299,19 +306,18 @@ def warp(image: np.ndarray, matrix: np.ndarray, width: int, height: int, strip:
     back = np.linalg.inv(matrix)
     out = np.zeros((height, width))
     rows, cols = image.shape
-    source = image.astype(float)
+    source = image.astype(float).ravel()
     for top in range(0, height, strip):
         part = out[top : top + strip]
-        x, y = np.meshgrid(np.arange(width, dtype=float), np.arange(top, top + len(part), dtype=float))
+        x, y = np.arange(width, dtype=float)[None, :], np.arange(top, top + len(part), dtype=float)[:, None]
         w = back[2, 0] * x + back[2, 1] * y + back[2, 2]
         u, v = (back[0, 0] * x + back[0, 1] * y + back[0, 2]) / w, (back[1, 0] * x + back[1, 1] * y + back[1, 2]) / w
-        bu, bv = np.floor(u).astype(int), np.floor(v).astype(int)
-        across = [(_cubic(np.abs(u - bu - i)), np.clip(bu + i, 0, cols - 1)) for i in range(-1, 3)]
+        fu, fv = np.floor(u), np.floor(v)
+        bu, bv, du, dv = fu.astype(int), fv.astype(int), u - fu, v - fv
+        across = [(_cubic(np.abs(du - i)), np.clip(bu + i, 0, cols - 1)) for i in range(-1, 3)]
         for j in range(-1, 3):
-            wy = _cubic(np.abs(v - bv - j))
-            yy = np.clip(bv + j, 0, rows - 1)
-            for wx, xx in across:
-                part += wy * wx * source[yy, xx]
+            line = np.clip(bv + j, 0, rows - 1) * cols
+            part += _cubic(np.abs(dv - j)) * sum(wx * source.take(line + xx) for wx, xx in across)
     return saturate(out)
 
 
