@@ -13,10 +13,12 @@ Registers are banded; documents that agree in a band are candidates.  No bucket
 all its pairs.  Its members are compared with one hub, the member nearest to what most of
 them agree on, and components are formed.  Only members outside a bucket's main component
 are looked at further: their sketches meet the bucket's others in blocks of bounded size,
-inside tasks, and the likeliest partners in other components are compared first, then all
-that the sketches leave possible.  A pair counts only after its whole multisets have been
-compared, and no such pair between components is left out but by chance: a pair at the threshold
-misses all bands, or is ruled out by sketches, with a chance of 6e-8, and pairs above it more seldom.
+inside tasks.  Members whose sketches leave a link possible meet once more, now with their texts,
+and are compared there, the likeliest first, until each is linked to each other component or
+can't be.  So rows are made for members and links, never for pairs.  A link counts only after
+whole multisets have been compared, and none between components is left out but by chance: a pair
+at the threshold misses all bands, or is ruled out by sketches, with a chance of 6e-8, and pairs
+above it more seldom.
 
 Exact copies are one node from the start, so is any text however often it occurs.
 Large tables always meet tables with one row a key, which lets hot keys be split.
@@ -32,7 +34,6 @@ columns of any name pass through ``keep_one`` and don't reach ``report``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +55,10 @@ FINE_REGISTERS = 1024
 #: A pair whose sketches agree in fewer registers isn't compared.  It lies 5.7 standard errors below the
 #: threshold, so a pair at 0.8 is lost with a chance of 1e-8, less than the bands lose.
 LEAST_AGREEING = 0.729
-#: Members of a bucket in a block, and partners tried first for a member, component and block.
-BLOCK, TRIED_FIRST = 512, 1
-#: Rows given to Python at once: pairs of blocks (0.8 MB each), and pairs of texts.
-BLOCK_ROWS, TEXT_ROWS = 16, 256
+#: Members of a bucket in a block, and bytes of their texts where it holds texts (a longer text is a block alone, about).
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Rows given to Python at once: pairs of blocks of sketches (1.3 MB each) or of texts, and pairs of texts.
+BLOCK_ROWS, TEXT_BLOCK_ROWS, TEXT_ROWS = 16, 2, 256
 _ELEMENT_BITS = np.uint64(48)
 
 
@@ -182,43 +183,48 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def _bag(text: str) -> Bag:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    _, element, times = shingles(Slice(0, 1, raw, np.array([0, len(raw)], np.int64)))
+    return element, times
+
+
+def _overlap_enough(one: Bag, two: Bag) -> bool:
+    (x, nx), (y, ny) = one, two
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = int(np.minimum(nx[i], ny[j]).sum())
+    union = int(nx.sum() + ny.sum()) - both
+    return 10 * both >= TENTHS * union and union > 0
+
+
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle multisets overlap enough, by comparing them whole."""
     left = texts.select(F.col("ref").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("ref").alias("b"), F.col("text").alias("tb"))
 
-    def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        _, element, times = shingles(Slice(0, 1, raw, np.array([0, len(raw)], np.int64)))
-        return element, times
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, tuple]] = {}
+        held: dict[str, tuple[int, Bag]] = {}
         for batch in batches:
             keep = []
             for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                bags = []
                 for side, ref, text in (("a", a, ta), ("b", b, tb)):  # a hub comes many times in a row
                     if side not in held or held[side][0] != ref:
-                        held[side] = (ref, bag(text))
-                    bags.append(held[side][1])
-                (x, nx), (y, ny) = bags
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = int(np.minimum(nx[i], ny[j]).sum())
-                union = int(nx.sum() + ny.sum()) - both
-                keep.append(10 * both >= TENTHS * union and union > 0)
+                        held[side] = (ref, _bag(text))
+                keep.append(_overlap_enough(held["a"][1], held["b"][1]))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _blocks(placed: DataFrame, signed: DataFrame, with_bands: bool) -> DataFrame:
-    """Members of buckets in blocks of bounded size: (key, block, rows)."""
-    counts = placed.groupBy("key").agg(F.count("*").alias("n"))
-    block = F.pmod(F.xxhash64("ref"), F.ceil(F.col("n") / BLOCK))
-    member = F.struct("ref", "component", "sketch", *(["bands"] if with_bands else []))
-    rows = placed.join(counts, "key").select("key", "ref", "component", block.alias("block")).join(signed, "ref")
-    return rows.groupBy("key", "block").agg(F.collect_list(member).alias("rows"))
+def _blocks(members: DataFrame, known: DataFrame, fields: list[str]) -> DataFrame:
+    """Members of buckets (key, ref, component, weight), with fields of ``known``, in blocks (key, block, rows) of a weight of about 1."""
+    counts = members.groupBy("key").agg(F.ceil(F.sum("weight")).alias("n"))
+    block = F.pmod(F.xxhash64("ref"), F.col("n"))
+    rows = members.join(counts, "key").select("key", "ref", "component", block.alias("block")).join(known.select("ref", *fields), "ref")
+    return rows.groupBy("key", "block").agg(F.collect_list(F.struct("ref", "component", *fields)).alias("rows"))
 
 
 def _sketches(members: pa.StructArray) -> np.ndarray:
@@ -246,41 +252,72 @@ def _hubs(blocks: DataFrame) -> DataFrame:
     return blocks.where("block = 0").select("key", "rows").mapInArrow(run, "key long, hub long, hub_component long")
 
 
-def _partners(outside: DataFrame, every: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) of different components that sketches leave possible, from blocks of buckets (key, rows).
+class _Met:
+    """Two blocks of a bucket that meet: which pairs of different components their sketches leave possible.
 
-    A pair comes from the first band in which it agrees.  With ``most``, a member gets so many partners
-    in each component and block, the likeliest.
+    A pair comes from the first band in which it agrees.
     """
-    met = outside.select("key", F.col("rows").alias("left")).join(every.select("key", F.col("rows").alias("right")), "key")
+
+    def __init__(self, key: int, left: pa.ListScalar, right: pa.ListScalar):
+        self.one, self.two = left.values, right.values
+        self.refs, self.others = (m.field("ref").to_numpy() for m in (self.one, self.two))
+        self.component, self.of = (m.field("component").to_numpy() for m in (self.one, self.two))
+        self.sketch, self.sketches = _sketches(self.one), _sketches(self.two)
+        self.bands, self.in_bands = (np.stack(m.field("bands").to_numpy(zero_copy_only=False)) for m in (self.one, self.two))
+        self.band = int(np.flatnonzero(self.bands[0] == key)[0])
+
+    def possible(self, i: int) -> np.ndarray:
+        """Places of the other block that may be linked to member i, the likeliest first."""
+        agree = (self.sketches == self.sketch[i]).mean(1)
+        ok = (agree >= LEAST_AGREEING) & (self.of != self.component[i])
+        ok[ok] &= ~(self.in_bands[ok, : self.band] == self.bands[i, : self.band]).any(1)
+        at = np.flatnonzero(ok)
+        return at[np.lexsort((self.others[at], -agree[at]))]
+
+
+def _meeting(outside: DataFrame, every: DataFrame) -> DataFrame:
+    return outside.select("key", F.col("rows").alias("left")).join(every.select("key", F.col("rows").alias("right")), "key")
+
+
+def _possible(outside: DataFrame, every: DataFrame) -> DataFrame:
+    """Members (key, ref) of buckets that sketches leave a link possible for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                met = _Met(key, left, right)
+                found = [met.possible(i) for i in range(len(met.refs))]
+                refs = np.concatenate([met.refs[[len(x) > 0 for x in found]], met.others[np.unique(np.concatenate(found))]])
+                if len(refs):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(refs), key)), pa.array(refs)], ["key", "ref"])
+
+    return _meeting(outside, every).mapInArrow(run, "key long, ref long").distinct()
+
+
+def _linked(outside: DataFrame, every: DataFrame) -> DataFrame:
+    """Links (a, b) from members of blocks with texts to others, at least one to each component that there is one to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                one, two = left.values, right.values
-                (sa, sb), (ra, rb), (ca, cb) = (
-                    (f(one), f(two)) for f in (_sketches, lambda m: m.field("ref").to_numpy(), lambda m: m.field("component").to_numpy())
-                )
-                ba, bb = (np.stack(m.field("bands").to_numpy(zero_copy_only=False)) for m in (one, two))
-                band = int(np.flatnonzero(ba[0] == key)[0])
-                found = []
-                for i in range(len(ra)):
-                    agree = (sb == sa[i]).mean(1)
-                    ok = (agree >= LEAST_AGREEING) & (cb != ca[i])
-                    ok[ok] &= ~(bb[ok, :band] == ba[i, :band]).any(1)
-                    at = np.flatnonzero(ok)
-                    if most is not None and len(at):
-                        at = at[np.lexsort((-agree[at], cb[at]))]
-                        new = np.ones(len(at), bool)
-                        new[1:] = cb[at][1:] != cb[at][:-1]
-                        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-                        at = at[nth < most]
-                    found.append(np.stack([np.minimum(ra[i], rb[at]), np.maximum(ra[i], rb[at])], axis=1))
-                pairs = np.unique(np.concatenate(found), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long")
+                met, found = _Met(key, left, right), []
+                texts, bags = met.two.field("text"), {}
+                for i in range(len(met.refs)):
+                    own, done = None, set()
+                    for j in met.possible(i).tolist():
+                        if met.of[j] in done:  # its component is joined to this member already
+                            continue
+                        own = own or _bag(met.one.field("text")[i].as_py())
+                        if j not in bags:
+                            bags[j] = _bag(texts[j].as_py())
+                        if _overlap_enough(own, bags[j]):
+                            done.add(met.of[j])
+                            found.append(sorted((int(met.refs[i]), int(met.others[j]))))
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _meeting(outside, every).mapInArrow(run, "a long, b long").distinct()
 
 
 def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -293,39 +330,35 @@ def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     known = texts.join(involved, "ref", "left_semi").mapInArrow(lambda it: (_distinct(b) for b in it), "ref long, text string")
     known = scratch.write(known.groupBy("ref").agg(F.min("text").alias("text")))
     one_each = signed.join(involved, "ref", "left_semi").groupBy("ref").agg(F.first("bands").alias("bands"))
-    known_sketches = scratch.write(_sketched(known).join(one_each, "ref"))
-    verified: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    found: DataFrame | None = None
-    for turn in ("hub", "likeliest", "all"):
-        if found is None:
-            placed = members.withColumn("component", F.col("ref"))
-        else:
-            placed = members.join(found.withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
-            mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-            placed = placed.join(mixed.select("key"), "key", "left_semi")
-        placed = scratch.write(placed)
-        if turn == "hub":
-            hubs = _hubs(_blocks(placed, known_sketches.select("ref", "sketch"), False))
-            pairs = placed.join(hubs, "key").where("ref != hub").select(F.least("ref", "hub").alias("a"), F.greatest("ref", "hub").alias("b"))
-            pairs = _agreeing(pairs.distinct(), known_sketches)
-        else:
-            sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-            outside = placed.join(main, "key").where("component != main").drop("main")
-            every = _blocks(placed, known_sketches, True)
-            pairs = _partners(_blocks(outside, known_sketches, True), every, TRIED_FIRST if turn == "likeliest" else None).distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, None if turn == "hub" else BLOCK_ROWS)
-        if pairs.isEmpty():
-            continue
-        tested.append(pairs)
-        verified.append(scratch.write(_alike(pairs, known), TEXT_ROWS))
-        found = connected_components(reduce(DataFrame.unionByName, verified), "a", "b")
-    if found is None:
-        return members.sparkSession.createDataFrame([], "node long, component long")
-    return found
+    sketched = scratch.write(_sketched(known).join(one_each, "ref"))
+    scratch.drop(signed)
+
+    alone = members.withColumn("component", F.col("ref")).withColumn("weight", F.lit(1 / BLOCK))
+    hubs = _hubs(_blocks(alone, sketched, ["sketch"]))
+    pairs = members.join(hubs, "key").where("ref != hub").select(F.least("ref", "hub").alias("a"), F.greatest("ref", "hub").alias("b"))
+    pairs = scratch.write(_agreeing(pairs.distinct(), sketched))
+    near_hub = scratch.write(_alike(pairs, known), TEXT_ROWS)
+    scratch.drop(pairs)
+    found = connected_components(near_hub, "a", "b")
+
+    # buckets that still hold several components: members outside the main one may be linked to others
+    placed = members.join(found.withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
+    placed = scratch.write(placed.join(main, "key").select("key", "ref", "component", (F.col("component") != F.col("main")).alias("outside")))
+    if placed.isEmpty():
+        return found
+    light = placed.withColumn("weight", F.lit(1 / BLOCK))
+    fields = ["sketch", "bands"]
+    left = scratch.write(_possible(_blocks(light.where("outside"), sketched, fields), _blocks(light, sketched, fields)), BLOCK_ROWS)
+    if left.isEmpty():
+        return found
+    sized = known.select("ref", F.greatest(F.lit(1 / BLOCK), F.octet_length("text") / BLOCK_BYTES).alias("weight"))
+    heavy = scratch.write(placed.join(left, ["key", "ref"]).join(sized, "ref"))
+    whole = sketched.join(known, "ref")
+    fields.append("text")
+    more = scratch.write(_linked(_blocks(heavy.where("outside"), whole, fields), _blocks(heavy, whole, fields)), TEXT_BLOCK_ROWS)
+    return connected_components(near_hub.unionByName(more), "a", "b")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
