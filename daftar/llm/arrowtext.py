@@ -118,8 +118,13 @@ def words(part: Slice) -> Words:
     closes[cut] = is_word[cut]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     if len(start):
-        value = _BYTE_VALUE[data] * _power_table(_BASE, n)
-        total = np.add.reduceat(value, start) * _power_table(_BASE_INVERSE, n)[start]
+        # each byte counts by its place in its word, so a table as long as the longest word will do
+        inside = np.zeros(n, np.int32)
+        inside[start] = start
+        inside = np.arange(n, dtype=np.int32) - np.maximum.accumulate(inside)
+        inside[~is_word] = 0
+        value = _BYTE_VALUE[data] * _power_table(_BASE, int((end - start).max()))[inside]
+        total = np.add.reduceat(value, start)
         hashes = mix(total ^ ((end - start).astype(np.uint64) << np.uint64(40))) | np.uint64(1)
     else:
         hashes = np.zeros(0, np.uint64)

@@ -37,7 +37,7 @@ from daftar.llm.scratch import Scratch
 
 WINDOW = 13
 #: Bytes of item text in one broadcast block, about, and bytes of text in a shard.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 #: Occurrences that are looked at together inside a task.
 TOGETHER = 1 << 20
 _SPAN = T.StructType().add("start", "long").add("end", "long")
