@@ -15,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a task; a longer document is a slice alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Values of a table of powers that a worker keeps (32 MB).
+_KEPT = 4 << 20
 
 _BYTES = np.arange(256)
 _IS_WORD = (
@@ -41,7 +43,7 @@ def _power_table(base: np.uint64, n: int) -> np.ndarray:
     full = np.full(max(n, 1 << 16), base, dtype=np.uint64)
     full[0] = 1
     table = np.cumprod(full, dtype=np.uint64)
-    if n <= 2 * SLICE_BYTES:
+    if n <= _KEPT:
         _powers[base] = table
     return table[:n]
 

@@ -57,8 +57,8 @@ FINE_REGISTERS = 512
 LEAST_AGREEING = 0.70
 #: Members of a bucket in a block, and bytes of their texts where it holds texts (a longer text is a block alone, about).
 BLOCK, BLOCK_BYTES = 512, 4 << 20
-#: Rows given to Python at once: pairs of blocks of sketches (1.3 MB each) or of texts, and pairs of texts.
-BLOCK_ROWS, TEXT_BLOCK_ROWS, TEXT_ROWS = 16, 2, 256
+#: Rows given to Python at once: texts to sign, pairs of blocks of sketches (0.8 MB each) or of texts, and pairs of texts.
+SIGNED_ROWS, BLOCK_ROWS, TEXT_BLOCK_ROWS, TEXT_ROWS = 2048, 16, 2, 256
 _ELEMENT_BITS = np.uint64(48)
 
 
@@ -138,7 +138,7 @@ def _signatures_of(batches: Iterator[pa.RecordBatch], registers: int) -> Iterato
     for whole in batches:
         for lo in range(0, len(whole), 1 << 13):
             batch = _distinct(whole.slice(lo, 1 << 13))
-            for part in slices(batch.column(1), 2 << 20):
+            for part in slices(batch.column(1)):
                 row, element, times = shingles(part)
                 some = np.unique(row)
                 if len(some):
@@ -322,7 +322,7 @@ def _linked(outside: DataFrame, every: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` of the distinct texts (ref, text) that have a near-duplicate."""
-    signed = scratch.write(_signed(texts))
+    signed = scratch.write(_signed(texts), SIGNED_ROWS)
     bands = signed.select("ref", F.explode("bands").alias("key"))
     crowded = bands.groupBy("key").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low != high")
     members = scratch.write(bands.join(crowded.select("key"), "key", "left_semi").distinct())
@@ -330,7 +330,7 @@ def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     known = texts.join(involved, "ref", "left_semi").mapInArrow(lambda it: (_distinct(b) for b in it), "ref long, text string")
     known = scratch.write(known.groupBy("ref").agg(F.min("text").alias("text")))
     one_each = signed.join(involved, "ref", "left_semi").groupBy("ref").agg(F.first("bands").alias("bands"))
-    sketched = scratch.write(_sketched(known).join(one_each, "ref"))
+    sketched = scratch.write(_sketched(known).join(one_each, "ref"), SIGNED_ROWS)
     scratch.drop(signed)
 
     alone = members.withColumn("component", F.col("ref")).withColumn("weight", F.lit(1 / BLOCK))
