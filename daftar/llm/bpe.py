@@ -8,7 +8,8 @@ places enter the index anew.  No rows are shuffled, memory is bounded by the bat
 and a lost task is simply run again.
 
 Defined cases: null text is empty; empty text has no ids and decodes to no
-bytes; repeated rows are encoded each for itself; no row is dropped.
+bytes; a very long text is encoded whole; repeated rows are encoded each for itself; no row is
+dropped; an empty table gives an empty one.  Extra columns of any name are left aside.
 """
 
 from __future__ import annotations

@@ -23,7 +23,9 @@ Nothing is sampled or capped.  Texts, segments and windows are told apart by 64-
 
 Defined cases: null text is empty; texts shorter than ``LENGTH`` lose nothing; exact
 copies lose everything from ``LENGTH`` bytes on; documents are matched by text, so
-repeated rows are copies of each other and null or repeated ids do no harm.
+repeated rows are copies of each other and null or repeated ids do no harm; a very long text is
+cut into segments like any other; an empty table gives an empty one.  Extra columns of any name
+are left aside.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ difference of the two Mahalanobis log-densities.
 Only the text enters a score.  Defined cases: null text is empty text, whose
 statistics are zeros; labels other than 0 and 1 are ignored, and of several labels
 of a document the larger counts; with one class only, its label is every
-score; with none, 0.5.
+score; with none, 0.5; a very long text counts whole; repeated rows get equal scores, and count
+as often as they occur in training; an empty table gives an empty one.  Extra columns of any name pass
+through ``accept`` and don't reach ``score``.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 0xC0)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 #: The statistics, each transformed to be nearer a normal one.
-NAMES = ("words", "word_bytes", "symbols", "bars", "shouts", "capitals", "digits", "stops", "lines", "distinct", "spread")
+NAMES = ("words", "word_bytes", "symbols", "bars", "shouts", "capitals", "digits", "stops", "lines", "distinct", "spread", "entropy", "stutter")
 
 
 def _histogram(part: Slice) -> np.ndarray:
@@ -62,6 +64,10 @@ def statistics(part: Slice) -> np.ndarray:
     total, squares = (np.bincount(row, x, minlength=len(n)) for x in (size, size**2))
     words_ = np.maximum(n, 1)
     mean = total / words_
+    share = h / np.maximum(h.sum(1, keepdims=True), 1)
+    entropy = -(share * np.log(share, out=np.zeros_like(share), where=share > 0)).sum(1)
+    again = np.zeros(len(row), bool)  # a word that is the one before it
+    again[1:] = (w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1])
     letters = np.maximum(h[:, _LETTER].sum(1), 1)
     filled = np.maximum(h[:, ~_SPACE].sum(1), 1)
     out = np.stack(
@@ -77,6 +83,8 @@ def statistics(part: Slice) -> np.ndarray:
             np.sqrt(h[:, 10] / words_),
             distinct / words_ + 0.15 * np.log1p(n),
             np.sqrt(np.sqrt(np.maximum(squares / words_ - mean**2, 0))),
+            entropy,
+            np.sqrt(np.bincount(row[again], minlength=len(n)) / words_),
         ],
         axis=1,
     )

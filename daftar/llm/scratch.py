@@ -1,66 +1,5 @@
-"""Tables written between jobs, in the shared folder that the cluster names."""
+"""Tables written between jobs; see ``daftar.stages``."""
 
-from __future__ import annotations
+from daftar.stages import Scratch, settings, shared_dir
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine) a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="daftar-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Jobs run inside have these settings of the session; afterwards they are as before."""
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
-class Scratch:
-    """Written tables of one run; ``drop`` deletes one that is no longer read."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def write(self, df: DataFrame, batch: int | None = None) -> DataFrame:
-        """Cut the lineage: write the rows and return a DataFrame that reads them.
-
-        The job's shuffle files go when it ends, as later jobs read the table.  ``batch``: rows that
-        Python is given at once, where rows are large; else the session's setting.
-        """
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-        if batch is not None:
-            values["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch)
-        with settings(self.spark, values):
-            df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._daftar_path = path
-        return out
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        for t in tables:
-            path = getattr(t, "_daftar_path", None)
-            if path:
-                jvm = self.spark._jvm
-                place = jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["Scratch", "settings", "shared_dir"]

@@ -12,7 +12,9 @@ never shuffled.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits
 no rule and is allowed; null or empty HTML gives no edge; repeated rows are judged
-each for itself; a table without edges needs no join.
+each for itself; very long URLs and HTML are searched whole; rules of equal length can't both fit
+but by equal texts; a table without edges needs no join, an empty one gives an empty one.  Extra
+columns of any name are left aside.
 """
 
 from __future__ import annotations
@@ -95,14 +97,31 @@ def _target(base: Column, href: Column) -> Column:
         .when(href.startswith("//"), F.concat(scheme, href))
         .when(href.startswith("/"), F.concat(origin, href))
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(href.startswith("?"), F.concat(origin, path_of(base), href))
         .otherwise(F.concat(folder, href))
     )
 
 
+def _without_dots(url: Column) -> Column:
+    """A URL whose path has no ``.`` and ``..`` steps."""
+    origin = F.regexp_extract(url, r"^[^?#]*?://[^/?#]*", 0)
+    steps = F.split(F.substring(path_of(url), F.lit(2), F.length(url)), "/")
+    last = F.element_at(steps, -1).isin(".", "..")
+
+    def walk(done: Column, step: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(step == "..", up).when(step == ".", done).otherwise(F.array_append(done, step))
+
+    walked = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    path = F.concat(F.lit("/"), F.array_join(F.when(last, F.array_append(walked, F.lit(""))).otherwise(walked), "/"))
+    tail = F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
+    return F.when(path_of(url).rlike(r"/\.\.?(/|$)"), F.concat(origin, path, tail)).otherwise(url)
+
+
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(src, dst)``: canonical links and meta refreshes of pages, between URL identities."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
+    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*(?:canonical\b|"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*')[^>]*>""", 0)
     canonical = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
     refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
@@ -110,7 +129,7 @@ def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return (
         pages.where(F.instr(url, "://") > 0)
         .select(identity(url).alias("src"), F.explode(F.array(_target(url, canonical), _target(url, refresh))).alias("to"))
-        .select("src", identity(F.col("to")).alias("dst"))
+        .select("src", identity(_without_dots(F.col("to"))).alias("dst"))
         .where("dst is not null and src != dst")
     )
 
