@@ -4,8 +4,10 @@ Each stage gets what its predecessor kept.  All but the last return the columns
 of documents; the last returns the encoded corpus, one row per document.
 Between stages ``run`` writes the rows as Parquet in the session's shared folder.
 
-Null, empty, repeated and very long texts are treated as the operators'
-docstrings say; an empty table passes through every stage.
+Defined cases: null text is empty to the classifier and passes the stages after it if it is
+accepted; empty and very long texts count whole; of repeated rows one stays; ties are
+broken as ``near_duplicates`` says; an empty table passes through every stage.  Extra columns of
+any name pass through all stages but the last.
 """
 
 from __future__ import annotations

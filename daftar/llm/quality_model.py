@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daftar.llm.arrowtext import SLICE_BYTES, Slice, slices, words
 
@@ -180,11 +181,12 @@ def accept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(batch.schema.get_field_index(text_col)), SLICE_BYTES // 2):
+            for part in slices(batch.column(0).field(text_col), SLICE_BYTES // 2):
                 keep = shared.value.score(statistics(part)) >= ACCEPT_FROM
                 yield batch.slice(part.first, part.last - part.first).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(run, T.StructType().add("row", docs.schema)).select("row.*")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
