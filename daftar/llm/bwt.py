@@ -18,7 +18,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         key[:-step] += rank[step:]
         key[ends] = rank[ends] * width
         rank, width, step = key, width * width, step * 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)  # equal ranks may come in any order
     sorted_ = rank[order]
     new = np.ones(n, bool)
     new[1:] = sorted_[1:] != sorted_[:-1]
@@ -33,12 +33,12 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         places = order[rows]
         after = places + step
         second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        by = np.lexsort((second, rank[places]))
-        places, second = places[by], second[by]
-        first = rank[places]
+        both = rank[places] * (n + 1) + second + 1
+        by = np.argsort(both)
+        places, both = places[by], both[by]
         order[rows] = places
         new = np.ones(len(rows), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        new[1:] = both[1:] != both[:-1]
         head = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
         rank[places] = head
         twin = ~new
@@ -57,18 +57,18 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarr
     stops before ``length``; the boundaries still open then have longer prefixes.
     """
     n = len(data)
-    order, rank = suffix_array(data, ends)
+    order, rank = (x.astype(np.int32) for x in suffix_array(data, ends))  # half as much to sort and gather
     separator = np.zeros(n, bool)
     separator[ends] = True
     previous = order - 1
     stop = separator[previous]  # of the first place this is the last one, a separator
-    step = np.where(stop, _END, rank[previous]).astype(np.int64)  # where a row goes on extension to the left
-    symbol = np.where(stop, _END, data[previous].astype(np.int64))
+    step = np.where(stop, np.int32(_END), rank[previous])  # where a row goes on extension to the left
+    symbol = np.where(stop, np.int16(_END), data[previous].astype(np.int16))
     # the next and previous rows with the same symbol
-    goes = np.flatnonzero(~stop)
-    back = np.full(n + 1, n, np.int64)
+    goes = np.flatnonzero(~stop).astype(np.int32)
+    back = np.full(n + 1, n, np.int32)
     back[step[goes]] = goes
-    following, preceding = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    following, preceding = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     near = back[step[goes] + 1]
     same = (near < n) & (symbol[np.minimum(near, n - 1)] == symbol[goes])
     following[goes[same]] = near[same]
@@ -81,14 +81,14 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarr
     cuts = np.flatnonzero(first[1:] != first[:-1]) + 1 + m
     open_[cuts] = False
     bounds = np.concatenate([np.arange(m), [m], cuts, [n]])
-    bounds = np.unique(bounds)
+    bounds = np.unique(bounds).astype(np.int32)
     low, high = bounds[:-1], bounds[1:]
     for _ in range(1, length):
         size = high - low
         if len(size) == 0:
             break
-        shift = low - np.concatenate([[0], np.cumsum(size)[:-1]])
-        rows = np.repeat(shift, size) + np.arange(int(size.sum()))
+        upto = np.cumsum(size, dtype=np.int32)
+        rows = np.repeat(low - upto + size, size) + np.arange(upto[-1], dtype=np.int32)
         lasts = rows[(following[rows] >= np.repeat(high, size)) & ~stop[rows]]
         firsts = rows[(preceding[rows] < np.repeat(low, size)) & ~stop[rows]]
         new_high, new_low = np.sort(step[lasts]) + 1, np.sort(step[firsts])
@@ -96,4 +96,4 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarr
         low, high = new_low[fresh], new_high[fresh]
         open_[high] = False
     deep = open_[:-1] | open_[1:]
-    return np.sort(order[deep])
+    return np.sort(order[deep]).astype(np.int64)
