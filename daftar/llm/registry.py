@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, decontaminate, exact_substrings, langid, license_scan, near_duplicates, oracle, pii, quality_model, quality_rules, url_filter
+from daftar.llm import (
+    bpe, decontaminate, exact_substrings, fill_in_middle, langid, license_scan, near_duplicates, oracle, pii, prefix_trie, quality_model, quality_rules,
+    rank_array, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rank_file(name: str = "byte_bpe_50k.tiktoken") -> bytes:
-    """Content of a rank file of the public tokenizers, read on the driver."""
+    """Content of a file of the public tokenizers, read on the driver."""
     with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
 
@@ -62,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_array.digests(table(spark, sf_dir, "documents"), rank_file("byte_bpe_50k.json"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_near_duplicates": op2_near_duplicates,
@@ -73,9 +88,14 @@ QUERIES: dict[str, Query] = {
     "op8_quality_model": op8_quality_model,
     "op9_exact_substrings": op9_exact_substrings,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_rank_array_bpe": op12_rank_array_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracle.QUALITY_RULES,
     "op4_url_filter": oracle.URL_FILTER,
     "op7_decontamination": oracle.DECONTAMINATION,
+    "op11_prefix_trie": oracle.PREFIX_TRIE,
+    "op13_fill_in_middle": oracle.FILL_IN_MIDDLE,
 }
