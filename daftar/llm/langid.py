@@ -13,9 +13,9 @@ task holds more dictionaries than that, however many languages there are.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; with no
 labelled rows at all every text is ``und``; equal sizes go to the language with
-more labelled rows, then the first in order; labels that are null take no part; a very long
-text is compressed whole; repeated rows get equal results, and count once in the sample where
-their ids are equal (the smallest text); an empty table gives an empty one.  Extra columns of
+more labelled ids, then the first in order; labels that are null take no part; a very long
+text is compressed whole; repeated rows get equal results, and count once in what is learned where
+their ids are equal (the smallest text), however many they are; an empty table gives an empty one.  Extra columns of
 any name are left aside.
 """
 
@@ -51,12 +51,12 @@ def letters(text: F.Column) -> F.Column:
 
 
 def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(lang, n, content)``: labelled rows and raw-content dictionary of each language, from a bounded sample of its rows."""
+    """``(lang, n, content)``: labelled ids and raw-content dictionary of each language, from a bounded sample of its rows."""
     own = (F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("lang"))
     rows = docs.select(*own).dropna()
     scratch = Scratch(docs.sparkSession, "languages")
-    counts = scratch.write(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    # of n rows, about 3 samples' worth have a hash below this share; the smallest of them are the sample
+    counts = scratch.write(rows.groupBy("lang").agg(F.countDistinct("id").alias("n")))
+    # of n ids, about 3 samples' worth have a hash below this share; the smallest of them are the sample
     place = F.xxhash64("id")
     near = rows.join(counts, "lang").where(place.cast("double") / 2.0**64 + 0.5 <= 3.0 * SAMPLE_DOCS / F.col("n"))
     near = near.groupBy("lang", place.alias("place"), "id").agg(F.min("t").alias("t"))

@@ -49,3 +49,13 @@ def test_more_languages_than_a_block_and_clashing_names(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as id", "2 as t", "3 as lang_pred", "4 as first", "5 as n")
     assert L.report(frame).count() == 300
     assert L.report(frame.limit(0)).count() == 0
+
+
+def test_repeated_rows_teach_as_much_as_one_of_each(spark):
+    """4,000 rows an id are far more than the sample; what is learned doesn't change."""
+    rows = [r for r in _rows(4, 10)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = once.crossJoin(spark.range(4000).select()).repartition(8)
+    want = {(r.lang, r.n, bytes(r.content)) for r in L.dictionaries(once).collect()}
+    assert {(r.lang, r.n, bytes(r.content)) for r in L.dictionaries(often).collect()} == want
+    assert len(want) == 4 and all(n == 10 and len(content) > 20 for _, n, content in want)
