@@ -13,8 +13,8 @@ from daftar.config import DEFAULT
 
 def since_reset(frames: DataFrame) -> DataFrame:
     """The frames of each session after its last reset (a frame whose ``reset`` is true clears what was seen before it)."""
-    last = F.max(F.when(F.col("reset"), F.col("frame"))).over(Window.partitionBy("session"))
-    out = frames.withColumn("last_reset", last)
+    last = frames.where("reset").groupBy("session").agg(F.max("frame").alias("last_reset"))
+    out = frames.join(last, "session", "left")
     return out.where(F.col("last_reset").isNull() | (F.col("frame") >= F.col("last_reset"))).drop("last_reset", "reset")
 
 
@@ -40,7 +40,10 @@ def status(frames: DataFrame, required: int = DEFAULT.required_votes) -> DataFra
 
 
 def first_agreement(frames: DataFrame, required: int = DEFAULT.required_votes) -> DataFrame:
-    """The frame at which each session first agrees, and on what: where reading stops."""
+    """The frame at which each session first agrees, and on what: where reading stops.
+
+    Spark limits the window to ``required`` frames a date in each task before it shuffles, so a long session is no large group.
+    """
     each = Window.partitionBy("session", "formatted").orderBy("frame")
     counted = frames.where("formatted is not null").withColumn("n", F.row_number().over(each)).where(F.col("n") == required)
     return counted.groupBy("session").agg(F.min("frame").alias("frame"), F.min_by("formatted", "frame").alias("agreed"))

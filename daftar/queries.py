@@ -267,9 +267,8 @@ def second_pass_cards(spark, sf_dir):
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_reads(spark, sf_dir)
-    parsed = R.parsed_reads(raw).where("date_prob >= 0.6").select("read_id", "formatted")
-    return raw.join(parsed, "read_id", "left").select(F.col("card_id").alias("session"), F.col("read_id").alias("frame"), "formatted", "confidence")
+    date = F.when(F.col("date_prob") >= 0.6, T.parse_date(F.col("raw"))["formatted"])
+    return raw_reads(spark, sf_dir).select(F.col("card_id").alias("session"), F.col("read_id").alias("frame"), date.alias("formatted"), "confidence")
 
 
 FRAMES_SQL = f"{PARSED_SQL}, frames AS (SELECT r.card_id AS session, r.read_id AS frame, p.formatted, r.confidence FROM raw_reads r LEFT JOIN (SELECT * FROM parsed WHERE date_prob >= 0.6) p USING (read_id))"
@@ -830,4 +829,4 @@ def recognise_images(spark, sf_dir):
     return r.select(F.col("card_id").alias("image_id"), "rectified", "error", "best", "birth", "expiry", "method")
 
 
-from daftar import image_queries, live_queries  # noqa: E402, F401  register their queries here
+from daftar import image_queries, live_queries, training_queries  # noqa: E402, F401  register their queries here
