@@ -829,4 +829,4 @@ def recognise_images(spark, sf_dir):
     return r.select(F.col("card_id").alias("image_id"), "rectified", "error", "best", "birth", "expiry", "method")
 
 
-from daftar import image_queries, live_queries, training_queries  # noqa: E402, F401  register their queries here
+from daftar import image_queries, live_queries, pixel_queries, training_queries  # noqa: E402, F401  register their queries here
