@@ -39,6 +39,7 @@ TEMPLATES = (
         "SPDX-License-Identifier: Apache-2.0",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
         License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0""",
+        "http://www.apache.org/licenses/LICENSE-2.0",
     ), ("apache", "2")),
     Template("GPL-3.0", (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -60,6 +61,19 @@ TEMPLATES = (
         """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
         License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
     ), ("3",)),
+    Template("LGPL-2.1", (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    ), ("2", "1")),
+    Template("AGPL-3.0", (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "GNU Affero General Public License Version 3",
+        "SPDX-License-Identifier: AGPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    ), ("3",)),
     Template("BSD-2-Clause", ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", _BSD), ("2",)),
     Template("BSD-3-Clause", (
         "Licensed under the BSD 3-Clause License.",
@@ -75,10 +89,28 @@ TEMPLATES = (
     ), ()),
     Template("MPL-2.0", (
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
+        "Mozilla Public License 2.0",
         "SPDX-License-Identifier: MPL-2.0",
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     ), ("2",)),
+    Template("EPL-2.0", (
+        "SPDX-License-Identifier: EPL-2.0",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+        available at https://www.eclipse.org/legal/epl-2.0""",
+    ), ("2",)),
+    Template("BSL-1.0", (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ), ("1",)),
+    Template("Zlib", (
+        "Licensed under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely""",
+    ), ()),
     Template("CC-BY-4.0", (
         "Licensed under CC BY 4.0.",
         "SPDX-License-Identifier: CC-BY-4.0",
