@@ -275,11 +275,17 @@ def _templates() -> list[tuple[str, int, np.ndarray]]:
     return [(kind, seed, px) for kind, several in S.drawn_templates(DEFAULT).items() for seed, px in enumerate(several)]
 
 
-@query(f"WITH {SHAPES_SQL} SELECT kind, CAST(seed AS INT) AS seed, CAST(y * 24 + x AS INT) AS place FROM shapes")
+@query(
+    f"WITH {FLAT_SQL}, {SHAPES_SQL}, g AS (SELECT x AS gx, y AS gy, avg(v) AS level FROM flat GROUP BY ALL) "
+    "SELECT kind, CAST(seed AS INT) AS seed, CAST(y * 24 + x AS INT) AS place, round(level, 6) AS level FROM shapes JOIN g ON gx = x * 8 // 24 AND gy = y * 8 // 32"
+)
 def shape_templates(spark, sf_dir):
-    """The ink of the seven drawn templates."""
+    """The ink of the seven drawn templates, and how dark all images together are under it."""
     rows = [(kind, seed, np.flatnonzero(px.ravel() == 0).tolist()) for kind, seed, px in _templates()]
-    return spark.createDataFrame(rows, "kind string, seed int, ink array<int>").select("kind", "seed", F.explode("ink").alias("place"))
+    ink = spark.createDataFrame(rows, "kind string, seed int, ink array<int>").select("kind", "seed", F.explode("ink").alias("place"))
+    levels = spread(grids(spark, sf_dir), "px", "v").groupBy(F.col("place").alias("cell")).agg(F.avg("v").alias("level"))
+    cell = F.floor(F.floor(F.col("place") / 24) * 8 / 32) * 8 + F.floor(F.col("place") % 24 * 8 / 24)
+    return ink.withColumn("cell", cell.cast("int")).join(levels, "cell").select("kind", "seed", "place", r6("level").alias("level"))
 
 
 @query(
@@ -453,17 +459,25 @@ def label_file(spark, sf_dir):
     return R.load_labels_csv(spark, path, rows.where("event_id % 5 <> 0").select("file"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {o}, {i * k}, true)" for n, o, i, k in N.LAYERS) + ") t(layer, outputs, inputs, close)")
+@query(
+    "WITH m AS (SELECT label, i, avg(v) AS w FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL) "
+    "SELECT CAST(o AS INT) AS output, round(max(abs(w)), 5) AS top, true AS close FROM m JOIN range(80) r(o) ON o % 10 = label GROUP BY o"
+)
 def weight_file(spark, sf_dir):
-    """The weight file written as base64 text, read back and scaled: within half a step of what it was made from."""
-    network = N.synthetic(3)
+    """A weight file whose digit head is the mean of each label's embeddings, written as base64 text, read back and scaled: its largest
+    weight for each output, and whether all are within half a step of what they were made from."""
+    e = table(spark, sf_dir, "embeddings")
+    means = e.groupBy("label").agg(F.array(*(F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(64))).alias("w")).collect()  # one row a label
+    network, own = N.synthetic(3), {r.label: np.array(r.w * 2, np.float32) for r in means}
+    head = np.stack([own.get(o % 10, np.zeros(128, np.float32)) for o in range(80)])
+    network = N.Network(network.weights | {"digits": head}, network.bias)
     scratch = Scratch(spark, "weights")
     path = f"{scratch.root}/text"
     spark.createDataFrame([(base64.b64encode(N.dump(network)).decode(),)], "value string").coalesce(1).write.text(path)
-    again = N.load(I.read_weights(spark, path))
-    step = {n: np.abs(w).max(1, keepdims=True) / 127 for n, w in network.weights.items()}
-    rows = [(n, o, i * k, bool((np.abs(again.weights[n] - network.weights[n]) <= 0.5001 * step[n]).all())) for n, o, i, k in N.LAYERS]
-    return spark.createDataFrame(rows, "layer string, outputs int, inputs int, close boolean")
+    again = N.load(I.read_weights(spark, path)).weights["digits"]
+    close = (np.abs(again - head) <= 0.5001 * np.abs(head).max(1, keepdims=True) / 127).all(1)
+    rows = [(o, round(float(np.abs(again[o]).max()), 5), bool(close[o])) for o in range(80) if o % 10 in own]
+    return spark.createDataFrame(rows, "output int, top double, close boolean")
 
 
 @query(f"SELECT kind, count(*) AS n, sum(id) AS total FROM (SELECT event_id AS id, CASE WHEN u < 740 THEN 'date' ELSE 'other' END AS kind FROM (SELECT event_id, {_draw('event_id', 1000)} AS u FROM events)) GROUP BY kind")

@@ -538,12 +538,18 @@ m AS (SELECT vec_id, sum((x-cx)^2)/n^2 AS a, sum((y-cy)^2)/n^2 AS b, sum((x-cx)*
   sum((x-cx)^3)/n^2.5 AS m30, sum((x-cx)^2*(y-cy))/n^2.5 AS m21, sum((x-cx)*(y-cy)^2)/n^2.5 AS m12, sum((y-cy)^3)/n^2.5 AS m03 FROM ink JOIN c USING (vec_id) GROUP BY vec_id, n)"""
 
 
+def _signed_log(v: str) -> str:
+    return f"CASE WHEN abs({v}) < 1e-10 THEN 0 ELSE round(-sign({v}) * log10(abs({v})), 3) END"
+
+
 @query(
-    f"WITH {HU_SQL} SELECT vec_id, round(-log10(a + b), 4) AS h1, CASE WHEN (a-b)^2+4*e^2 < 1e-12 THEN 0 ELSE round(-log10((a-b)^2+4*e^2), 4) END AS h2, "
-    "CASE WHEN (m30-3*m12)^2+(3*m21-m03)^2 < 1e-12 THEN 0 ELSE round(-log10((m30-3*m12)^2+(3*m21-m03)^2), 4) END AS h3 FROM m"
+    f"WITH {HU_SQL}, k AS (SELECT *, m30-3*m12 AS p, 3*m21-m03 AS q, m30+m12 AS u, m21+m03 AS w FROM m) "
+    "SELECT vec_id, round(-log10(a + b), 4) AS h1, CASE WHEN (a-b)^2+4*e^2 < 1e-12 THEN 0 ELSE round(-log10((a-b)^2+4*e^2), 4) END AS h2, "
+    "CASE WHEN p^2+q^2 < 1e-12 THEN 0 ELSE round(-log10(p^2+q^2), 4) END AS h3, CASE WHEN u^2+w^2 < 1e-12 THEN 0 ELSE round(-log10(u^2+w^2), 4) END AS h4, "
+    f"{_signed_log('p*u*(u^2-3*w^2) + q*w*(3*u^2-w^2)')} AS h5, {_signed_log('(a-b)*(u^2-w^2) + 4*e*u*w')} AS h6, {_signed_log('q*u*(u^2-3*w^2) - p*w*(3*u^2-w^2)')} AS h7 FROM k"
 )
 def hu_moments(spark, sf_dir):
-    """The first three moments of ink, relationally: sums over the dark pixels."""
+    """The seven moments of ink, relationally: sums over the dark pixels."""
     ink = spread(grids(spark, sf_dir), "px", "v").where("v < 128").select("vec_id", (F.col("place") % 8).alias("x"), F.floor(F.col("place") / 8).alias("y"))
     c = ink.groupBy("vec_id").agg(F.count("*").cast("double").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
@@ -556,8 +562,14 @@ def hu_moments(spark, sf_dir):
     two = (a - b) * (a - b) + 4 * e * e
     p, q = F.col("m30") - 3 * F.col("m12"), 3 * F.col("m21") - F.col("m03")
     three = p * p + q * q
+    u, w = F.col("m30") + F.col("m12"), F.col("m21") + F.col("m03")
+    right, left = u * u - 3 * w * w, 3 * u * u - w * w
     log = lambda v: F.when(v < 1e-12, 0.0).otherwise(F.round(-F.log10(v), 4))
-    return m.select("vec_id", F.round(-F.log10(a + b), 4).alias("h1"), log(two).alias("h2"), log(three).alias("h3"))
+    signed = lambda v: F.when(F.abs(v) < 1e-10, 0.0).otherwise(F.round(-F.signum(v) * F.log10(F.abs(v)), 3))
+    return m.select(
+        "vec_id", F.round(-F.log10(a + b), 4).alias("h1"), log(two).alias("h2"), log(three).alias("h3"), log(u * u + w * w).alias("h4"),
+        signed(p * u * right + q * w * left).alias("h5"), signed((a - b) * (u * u - w * w) + 4 * e * u * w).alias("h6"), signed(q * u * right - p * w * left).alias("h7"),
+    )
 
 
 @query(
