@@ -1,4 +1,7 @@
-"""Every tunable number of the document-date engine, passed explicitly to operators."""
+"""Every tunable number of the document-date engine, passed explicitly to operators.
+
+The defaults are fixed values: results depend on them, so they have to be these.
+"""
 
 from __future__ import annotations
 
