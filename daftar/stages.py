@@ -26,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of large rows that Python is given at once.  Both processes hold a few copies of a batch, the JVM's outside its heap.
+BATCH_BYTES = 8 << 20
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Jobs run inside have these settings of the session; afterwards they are as before."""
@@ -51,13 +55,15 @@ class Scratch:
         """Cut the lineage: write the rows and return a DataFrame that reads them.
 
         The job's shuffle files go when it ends, as later jobs read the table.  ``batch``: rows that
-        Python is given at once, where rows are large; else the session's setting.
+        Python is given at once, where rows are large, and then no more than ``BATCH_BYTES`` of them (a larger row is a
+        batch alone); else the session's settings.
         """
         self.count += 1
         path = f"{self.root}/{self.count}"
         values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
         if batch is not None:
             values["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch)
+            values["spark.sql.execution.arrow.maxBytesPerBatch"] = str(BATCH_BYTES)
         with settings(self.spark, values):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
