@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from daftar.llm.arrowtext import Slice, grams, mix, slices, words
 from daftar.llm.components import connected_components
-from daftar.llm.scratch import Scratch
+from daftar.llm.scratch import Scratch, settings
 
 SHINGLE = 5
 REGISTERS, ROWS = 128, 4
@@ -58,7 +58,10 @@ LEAST_AGREEING = 0.70
 #: Members of a bucket in a block, and bytes of their texts where it holds texts (a longer text is a block alone, about).
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Rows given to Python at once: texts to sign, pairs of blocks of sketches (0.8 MB each) or of texts, and pairs of texts.
+#: ``Scratch.write`` bounds the bytes of these too: a long hub beside each of 256 members is far more than a batch.
 SIGNED_ROWS, BLOCK_ROWS, TEXT_BLOCK_ROWS, TEXT_ROWS = 2048, 16, 2, 256
+#: Blocks with texts that a task gathers side by side in memory; beyond that it sorts rows and gathers one block at a time.
+HELD_BLOCKS = 8
 _ELEMENT_BITS = np.uint64(48)
 
 
@@ -209,10 +212,10 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         held: dict[str, tuple[int, Bag]] = {}
         for batch in batches:
             keep = []
-            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for side, ref, text in (("a", a, ta), ("b", b, tb)):  # a hub comes many times in a row
+            for i, (a, b) in enumerate(zip(*(batch.column(side).to_pylist() for side in "ab"), strict=True)):
+                for side, ref in (("a", a), ("b", b)):  # a hub comes many times in a row
                     if side not in held or held[side][0] != ref:
-                        held[side] = (ref, _bag(text))
+                        held[side] = (ref, _bag(batch.column("t" + side)[i].as_py()))
                 keep.append(_overlap_enough(held["a"][1], held["b"][1]))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -321,14 +324,20 @@ def _linked(outside: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, component)`` of the distinct texts (ref, text) that have a near-duplicate."""
+    """``(node, component)`` of the distinct texts (ref, text) that have a near-duplicate; every other table of ``scratch`` is dropped."""
+    found = _links(texts, scratch)
+    scratch.drop_all_but()
+    return found
+
+
+def _links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     signed = scratch.write(_signed(texts), SIGNED_ROWS)
     bands = signed.select("ref", F.explode("bands").alias("key"))
     crowded = bands.groupBy("key").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low != high")
     members = scratch.write(bands.join(crowded.select("key"), "key", "left_semi").distinct())
     involved = members.select("ref").distinct()
     known = texts.join(involved, "ref", "left_semi").mapInArrow(lambda it: (_distinct(b) for b in it), "ref long, text string")
-    known = scratch.write(known.groupBy("ref").agg(F.min("text").alias("text")))
+    known = scratch.write(known.groupBy("ref").agg(F.min("text").alias("text")), SIGNED_ROWS)
     one_each = signed.join(involved, "ref", "left_semi").groupBy("ref").agg(F.first("bands").alias("bands"))
     sketched = scratch.write(_sketched(known).join(one_each, "ref"), SIGNED_ROWS)
     scratch.drop(signed)
@@ -357,7 +366,8 @@ def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
     heavy = scratch.write(placed.join(left, ["key", "ref"]).join(sized, "ref"))
     whole = sketched.join(known, "ref")
     fields.append("text")
-    more = scratch.write(_linked(_blocks(heavy.where("outside"), whole, fields), _blocks(heavy, whole, fields)), TEXT_BLOCK_ROWS)
+    with settings(texts.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD_BLOCKS)}):
+        more = scratch.write(_linked(_blocks(heavy.where("outside"), whole, fields), _blocks(heavy, whole, fields)), TEXT_BLOCK_ROWS)
     return connected_components(near_hub.unionByName(more), "a", "b")
 
 

@@ -94,3 +94,30 @@ def test_columns_of_clashing_names_and_empty_tables(spark):
     out = N.keep_one(rows)
     assert out.columns == rows.columns and sorted(map(tuple, out.collect())) == [(1, "x y z", 8, 9, 10, 11, 12), (3, None, 0, 0, 0, 0, 0)]
     assert N.keep_one(rows.limit(0)).count() == 0
+
+
+def test_written_tables_are_dropped_but_for_the_components(spark):
+    import glob
+
+    from daftar.stages import shared_dir
+
+    place = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{place}/near-*/*"))
+    rows = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(8)], "doc_id int, text string")
+    assert N.report(rows).count() == 8
+    assert set(glob.glob(f"{place}/near-*/*")) == before
+
+
+def test_batches_of_large_rows_are_bounded_by_bytes(spark):
+    """Pairs of one long text with many: Python gets few of them at once, whatever their number."""
+    import pyarrow as pa
+
+    from daftar.stages import BATCH_BYTES, Scratch
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    rows = spark.sql("select id, repeat('long text ', 60000) as text from range(0, 60, 1, 1)")
+    made = Scratch(spark, "bytes").write(rows.mapInArrow(sizes, "n long, bytes long"), N.TEXT_ROWS).collect()
+    assert sum(r.n for r in made) == 60 and max(r.bytes for r in made) < 2 * BATCH_BYTES
