@@ -13,7 +13,7 @@ never shuffled.
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits
 no rule and is allowed; null or empty HTML gives no edge; repeated rows are judged
 each for itself; very long URLs and HTML are searched whole; rules of equal length can't both fit
-but by equal texts; a table without edges needs no join, an empty one gives an empty one.  Extra
+but by equal texts; a page with several canonical links or refreshes is an alias of each; a table without edges needs no join, an empty one gives an empty one.  Extra
 columns of any name are left aside.
 """
 
@@ -119,16 +119,17 @@ def _without_dots(url: Column) -> Column:
 
 
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(src, dst)``: canonical links and meta refreshes of pages, between URL identities."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*(?:canonical\b|"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*')[^>]*>""", 0)
-    canonical = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    url = F.col(url_col)
+    """``(src, dst)``: all canonical links and meta refreshes of pages, between URL identities."""
+    html, url = F.coalesce(F.col(html_col), F.lit("")), F.col(url_col)
+    every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    links = every(r"""(?is)<link\b[^>]*\brel\s*=\s*(?:canonical\b|"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*')[^>]*>""")
+    canonical = F.transform(links, lambda x: F.regexp_extract(x, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+    metas = every(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""")
+    refresh = F.transform(metas, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     return (
         pages.where(F.instr(url, "://") > 0)
-        .select(identity(url).alias("src"), F.explode(F.array(_target(url, canonical), _target(url, refresh))).alias("to"))
+        .select(url.alias("base"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("href"))
+        .select(identity(F.col("base")).alias("src"), _target(F.col("base"), F.col("href")).alias("to"))
         .select("src", identity(_without_dots(F.col("to"))).alias("dst"))
         .where("dst is not null and src != dst")
     )

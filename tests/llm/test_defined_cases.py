@@ -89,3 +89,38 @@ def test_pipeline_of_other_columns_and_of_an_empty_table(spark, docs, tmp_path):
             assert rows.columns == docs.columns
         last = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).collect()
         assert (len(last) > 0) == (name == "some")
+
+
+def test_quality_scores_of_very_long_texts(spark):
+    """A text beyond a slice counts whole: its end changes the statistics, and its score is that of the text alone in a table."""
+    from daftar.llm.arrowtext import SLICE_BYTES
+
+    unit = "plain words of a long text, once more. "
+    long = unit * (3 * SLICE_BYTES // len(unit))
+    train = spark.createDataFrame([(i, f"{unit * (i % 7 + 1)}{'!' * (i % 5)} {i}", i % 2) for i in range(40)], "doc_id int, text string, quality int")
+    model = quality_model.train(train.drop("quality"), train.select("doc_id", "quality"))
+    texts = {1: unit, 2: long, 3: long + "!" * 100_000, 4: long}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string").coalesce(1)
+    vectors = {i: quality_model.statistics(Slice(0, 1, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))[0] for i, t in texts.items()}
+    assert not np.allclose(vectors[2], vectors[3])
+    got = {r.doc_id: r.score for r in quality_model.score(rows, model).collect()}
+    for i, x in vectors.items():
+        assert math.isclose(got[i], model.score(x[None])[0], abs_tol=1e-9)
+
+
+def test_url_filter_of_repeated_rows_and_thousands_of_aliases(spark):
+    """One blocked page redirects a chain's head; each alias, and each repetition of its row, is blocked, and no other page."""
+    refresh = '<meta http-equiv="refresh" content="0; url=http://a.net/{}">'
+    rows = [(0, "http://a.com/de/x", refresh.format("n/0"))]
+    rows += [(i + 1, f"http://a.net/n/{i}", '<link rel="canonical" href="/n/0"><link rel="canonical" href="/n/1">') for i in range(3000)]
+    rows += [(5000 + i, f"http://b.net/{i}", None) for i in range(10)] + [(7, "http://a.net/n/6", "")] * 3
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = url_filter.judge(pages).collect()
+    assert len(got) == len(rows)
+    assert all(r.verdict == ("block" if r.page_id <= 3000 else "allow") for r in got)
+
+
+def test_all_links_of_a_page_are_edges(spark):
+    html = '<link rel=canonical href=/b><LINK REL="canonical" HREF="/c"><link rel="canonical" href="/b"><meta http-equiv=refresh content="1; url=/d"><meta http-equiv="refresh" content="2; url=/e">'
+    edges = url_filter.html_edges(spark.createDataFrame([("http://x.net/a", html)], "url string, html string"))
+    assert sorted(r.dst for r in edges.collect()) == [f"http://x.net/{c}" for c in "bcde"]
