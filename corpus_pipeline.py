@@ -2,7 +2,8 @@
 
 Each stage gets what its predecessor kept.  All but the last return the columns
 of documents; the last returns the encoded corpus, one row per document.
-Between stages ``run`` writes the rows as Parquet in the session's shared folder.
+Between stages ``run`` writes the rows as Parquet in the session's shared folder, where only the last
+of these tables stays.
 
 Defined cases: null text is empty to the classifier and passes the stages after it if it is
 accepted; empty and very long texts count whole; of repeated rows one stays; ties are
@@ -71,8 +72,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.write(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop_all_but(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
