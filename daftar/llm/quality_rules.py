@@ -1,14 +1,15 @@
 """Rules of text quality as a short-circuit cascade, with DataFrame functions only.
 
 A bounded sample, drawn over the whole table by chance with texts taken whole, gives each
-rule's cost (time of a run over it, each row many times) and selectivity (share of its rows
-that fail); rules then run in order of rejections per cost, and the first failure ends a
-row's evaluation.  The order changes only the cost: a row is kept if it passes every rule.
+rule's cost (the shorter of two runs over it, each row many times) and selectivity.  The first rule is the
+one with most rejections per cost; each next one is chosen by what it rejects of the rows that are left,
+as it will see no others.  Rows that the base rules reject never reach a rule, so they aren't in the sample.
+The first failure ends a row's evaluation.  The order changes only the cost: a row is kept if it passes every rule.
 
 Defined cases: null or empty text has no words and fails the base rules; a very long text is
 measured whole; rows are judged one by one, so repeated rows get equal results, and nothing
-is shuffled; an empty table gives an empty one; rules of equal rejections per cost run cheapest
-first, then as given.  Extra columns pass through, except that a column with the name of
+is shuffled; an empty table gives an empty one; rules of equal rejections per cost (those that reject
+nothing that is left, too) run cheapest first, then as given.  Extra columns pass through, except that a column with the name of
 one of the results (``RESULTS``) is replaced by it.
 """
 
@@ -90,32 +91,44 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def ordered(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Rules by rejections per second on a bounded sample: (rule, seconds, share rejected).
+def ordered(
+    docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, reach: Column | None = None
+) -> list[tuple[Rule, float, float]]:
+    """Rules as the cascade runs them: (rule, seconds, share rejected of the sample's rows that the rules before it leave).
 
-    Every row of the table has the same chance to be drawn; nothing is shuffled for it.
+    Every row of the table has the same chance to be drawn; nothing is shuffled for it.  ``reach``: which of the
+    measured rows come to the rules; else all.
     """
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     share = min(1.0, sample_rows / max(texts.count(), 1))
     sample = measured(texts if share == 1 else texts.sample(share, seed=7)).cache()
+    # filtered after the cache: before it, the filter would measure every text once more
+    rows = sample if reach is None else sample.where(reach)
+    fails = [~F.coalesce(rule.passes, F.lit(False)) for rule in rules]
     try:
-        n = sample.count()
-        many = sample.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(RUNS))))
+        # which rules fail together, and how often: never more rows than the sample has
+        together = rows.groupBy(F.array(*fails).alias("fails")).count().collect() if rules else []
+        many = rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(RUNS))))
 
-        def run(column: Column) -> tuple[float, int]:
+        def seconds(column: Column) -> float:
             began = time.perf_counter()
-            failed = many.agg(F.count_if(~F.coalesce(column, F.lit(False)))).first()[0]
-            return time.perf_counter() - began, failed // RUNS
-
-        run(F.lit(True))
-        floor = run(F.lit(True))[0]
-        out = []
-        for rule in rules:
-            seconds, failed = run(rule.passes)
-            out.append((rule, max(seconds - floor, 1e-3), failed / n if n else 0.0))
+            many.agg(F.count_if(column)).first()
+            return time.perf_counter() - began
+
+        seconds(F.lit(True))
+        floor = min(seconds(F.lit(True)) for _ in range(2))
+        cost = [max(min(seconds(column) for _ in range(2)) - floor, 1e-3) for column in fails]
     finally:
         sample.unpersist()
-    return sorted(out, key=lambda x: (-x[2] / x[1], x[1]))
+    out, open_ = [], list(range(len(rules)))
+    while open_:
+        left = sum(r["count"] for r in together)
+        shares = {i: sum(r["count"] for r in together if r.fails[i]) / left if left else 0.0 for i in open_}
+        best = min(open_, key=lambda i: (-shares[i] / cost[i], cost[i], i))
+        out.append((rules[best], cost[best], shares[best]))
+        open_.remove(best)
+        together = [r for r in together if not r.fails[best]]
+    return out
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -130,7 +143,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "tex
     """Add the measured columns, ``base_failed`` and ``kept``."""
     rows = measured(docs, text_col)
     rules = default_rules() if rules is None else rules
-    order = [r for r, _, _ in ordered(docs, rules, text_col, sample_rows)]
+    order = [r for r, _, _ in ordered(docs, rules, text_col, sample_rows, ~base_failed())]
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(order)))
 
 

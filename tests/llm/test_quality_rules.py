@@ -31,3 +31,31 @@ def test_columns_of_clashing_names(spark):
     got = Q.judge(rows).first()
     assert (got.q_hash, got.q_sorted, got.q_places, got.row, got["a.b"], got.n_words, got.kept) == (2, 3, 4, 5, 6, 80, True)
     assert Q.judge(rows.limit(0)).count() == 0
+
+
+def test_rules_are_chosen_by_what_is_left(spark):
+    """Of two rules that fail the same rows the second rejects nothing that is left, so one that fails others goes first."""
+    rows = spark.createDataFrame([(BASE + (" aa" if i % 3 else "") + (" bb" if i % 9 == 0 else ""),) for i in range(90)], "text string")
+    text = F.col("q_text")
+    rules = [Q.Rule("a", ~text.contains(" aa")), Q.Rule("a again", ~text.contains(" aa")), Q.Rule("b", ~text.contains(" bb"))]
+    order = Q.ordered(rows, rules, sample_rows=1000)
+    shares = {rule.name: share for rule, _, share in order}
+    assert sorted([shares["a"], shares["a again"]]) == [0.0, max(shares["a"], shares["a again"])]
+    assert abs(shares["b"] - (10 / 30 if order[0][0].name != "b" else 10 / 90)) < 1e-9
+    assert shares[order[-1][0].name] == 0.0 and order[-1][0].name.startswith("a")
+
+
+def test_rows_that_fail_the_base_rules_are_not_sampled(spark):
+    rows = spark.createDataFrame([("x",)] * 50 + [(BASE,)] * 10 + [(BASE + " #",)] * 10, "text string")
+    rule = Q.Rule("symbol", ~F.col("q_text").contains("#"))
+    ((_, _, share),) = Q.ordered(rows, [rule], sample_rows=1000, reach=~Q.base_failed())
+    assert share == 0.5
+
+
+def test_equal_rules_no_rules_and_a_very_long_line(spark):
+    line = " ".join(f"w{i}" for i in range(20_000))
+    rows = spark.createDataFrame([(1, line), (2, line + " #")], "doc_id int, text string")
+    ends = Q.Rule("end", ~F.col("q_text").endswith("#"))
+    for rules, second in (([ends, ends], False), ([], True)):
+        got = {r.doc_id: (r.n_words, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in Q.judge(rows, rules).collect()}
+        assert got == {1: (20_000, 0, 0, False, True), 2: (20_001, 0, 0, False, second)}
