@@ -53,9 +53,9 @@ def test_rows_that_fail_the_base_rules_are_not_sampled(spark):
 
 
 def test_equal_rules_no_rules_and_a_very_long_line(spark):
-    line = " ".join(f"w{i}" for i in range(20_000))
+    line = " ".join(f"w{i}" for i in range(200_000))
     rows = spark.createDataFrame([(1, line), (2, line + " #")], "doc_id int, text string")
     ends = Q.Rule("end", ~F.col("q_text").endswith("#"))
     for rules, second in (([ends, ends], False), ([], True)):
         got = {r.doc_id: (r.n_words, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in Q.judge(rows, rules).collect()}
-        assert got == {1: (20_000, 0, 0, False, True), 2: (20_001, 0, 0, False, second)}
+        assert got == {1: (200_000, 0, 0, False, True), 2: (200_001, 0, 0, False, second)}
