@@ -28,6 +28,13 @@ def test_holes():
     assert S.holes(np.full((6, 6), 255, np.uint8), DEFAULT) == [] and S.holes(np.zeros((6, 6), np.uint8), DEFAULT) == []
 
 
+def test_equal_variances_give_the_lowest_threshold():
+    """Two thresholds whose variances are the same number, but for the last bits of their floats."""
+    px = [131, 98, 110, 110, 160, 110, 135, 108, 119, 103, 122, 142, 140, 127, 90, 79, 119, 127, 139, 96, 147, 142, 75, 156, 154, 129, 102, 114, 131, 145, 129, 109,
+          211, 125, 141, 134, 129, 113, 159, 134, 123, 154, 141, 109, 134, 192, 121, 176, 105, 146, 114, 159, 200, 145, 72, 161, 175, 192, 74, 153, 167, 135, 158, 34]
+    assert K.otsu(np.array(px, np.uint8).reshape(8, 8)) == 129
+
+
 def test_topology():
     assert S.topology_reasons(RING, "0", DEFAULT) == []
     assert S.topology_reasons(RING, "8", DEFAULT) == ["8-holes-1"]
