@@ -35,6 +35,13 @@ def test_equal_variances_give_the_lowest_threshold():
     assert K.otsu(np.array(px, np.uint8).reshape(8, 8)) == 129
 
 
+def test_holes_where_variances_are_equal():
+    px = [197, 181, 98, 101, 110, 105, 125, 60, 87, 109, 121, 169, 124, 97, 132, 149, 143, 163, 89, 134, 72, 198, 114, 106, 143, 125, 88, 90, 146, 129, 152, 103,
+          65, 131, 93, 117, 85, 103, 127, 151, 99, 133, 185, 154, 141, 146, 116, 127, 101, 116, 136, 139, 107, 124, 152, 105, 164, 169, 153, 86, 168, 85, 74, 156]
+    image = np.array(px, np.uint8).reshape(8, 8)
+    assert K.otsu(image) == 121 and S.holes_by_threshold(image) == 1
+
+
 def test_topology():
     assert S.topology_reasons(RING, "0", DEFAULT) == []
     assert S.topology_reasons(RING, "8", DEFAULT) == ["8-holes-1"]
