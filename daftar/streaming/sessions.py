@@ -43,29 +43,31 @@ class Agreement(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ended = self.ended.exists()
         seen: dict[str, list] = {}  # count, sum of confidence, the first frames
-        last = self.last.get()[0] if self.last.exists() else None
+        old_last = None if ended else self.last.get()
+        last = old_last[0] if old_last else None
         for part in rows:
             if ended:
                 continue
             top = part.frame.max()
             last = int(top) if last is None else max(last, int(top))
-            for date, own in part.dropna(subset=["formatted"]).groupby("formatted", sort=False):
+            for date, own in self._votes(part).items():
                 vote = seen.setdefault(date, [0, 0.0, []])
-                vote[0] += len(own)
-                vote[1] += float(own.confidence.fillna(0.0).sum())
-                vote[2] = heapq.nsmallest(self.required, [*vote[2], *own.frame.nsmallest(self.required).astype(int).tolist()])
+                vote[0] += own[0]
+                vote[1] += own[1]
+                vote[2] = heapq.nsmallest(self.required, [*vote[2], *own[2]])
         if ended:
             return
+        stored = old_last is not None and self.votes.exists()  # a session without a last frame has no votes
         agreed: tuple[int, str] | None = None
         for date, vote in seen.items():
-            old = self.votes.getValue((date,)) if self.votes.exists() and self.votes.containsKey((date,)) else (0, 0.0, None)
+            old = self.votes.getValue((date,)) if stored and self.votes.containsKey((date,)) else (0, 0.0, None)
             due = self.required - old[0]
             if vote[0] >= due:
                 agreed = min(agreed, (vote[2][due - 1], date)) if agreed else (vote[2][due - 1], date)
             vote[:] = [old[0] + vote[0], old[1] + vote[1], vote[2][0] if old[2] is None else old[2]]
         if agreed:
             yield pd.DataFrame({"session": [key[0]], "frame": [agreed[0]], "agreed": [agreed[1]], "error": [None], "leading": [agreed[1]], "count": [self.required]})
-            self._end(agreed[0])
+            self._end(agreed[0], old_last is not None)
             return
         for date, vote in seen.items():
             self.votes.updateValue((date,), tuple(vote))
@@ -85,10 +87,21 @@ class Agreement(StatefulProcessor):
         })
         self._end(last)
 
-    def _end(self, frame: int) -> None:
-        """The votes go, a mark stays."""
-        self.votes.clear()
-        self.last.clear()
+    def _votes(self, part: pd.DataFrame) -> dict[str, tuple[int, float, list[int]]]:
+        """Of each date of a part its count, its sum of confidence and its first frames; most sessions are a few rows, so plain loops."""
+        by: dict[str, tuple[list[int], list[float]]] = {}
+        for date, frame, sure in zip(part.formatted.tolist(), part.frame.tolist(), part.confidence.tolist(), strict=True):
+            if isinstance(date, str):
+                frames, confidences = by.setdefault(date, ([], []))
+                frames.append(int(frame))
+                confidences.append(sure if sure is not None and sure == sure else 0.0)
+        return {date: (len(frames), float(sum(confidences)), heapq.nsmallest(self.required, frames)) for date, (frames, confidences) in by.items()}
+
+    def _end(self, frame: int, stored: bool = True) -> None:
+        """The votes go, if any were stored, and a mark stays."""
+        if stored:
+            self.votes.clear()
+            self.last.clear()
         if self.idle_ms is not None:
             self._drop_timers()
         self.ended.update((frame,))

@@ -94,6 +94,55 @@ def test_a_session_of_a_million_frames_comes_in_parts(spark, tmp_path):
     assert _found(spark, tmp_path) == [(7, n - 1, None, "no agreement"), (8, n - 3, "1380/01/01", None)]
 
 
+class _State:
+    """A state variable that counts the calls made to it, each of which is a round trip to the JVM."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, {}
+
+    def _call(self, out=None):
+        self.calls.append(out)
+        return out
+
+    def exists(self):
+        return self._call(bool(self.held))
+
+    def get(self):
+        return self._call(self.held.get(()))
+
+    def update(self, v):
+        self._call(self.held.update({(): v}))
+
+    def containsKey(self, k):
+        return self._call(k in self.held)
+
+    def getValue(self, k):
+        return self._call(self.held[k])
+
+    def updateValue(self, k, v):
+        self._call(self.held.update({k: v}))
+
+    def clear(self):
+        self._call(self.held.clear())
+
+
+def test_a_session_makes_few_calls_to_its_state():
+    calls, one = [], sessions.Agreement(2, None, None)
+    one.votes, one.last, one.ended = _State(calls), _State(calls), _State(calls)
+
+    def feed(*rows):
+        calls.clear()
+        parts = [pd.DataFrame([r], columns=["frame", "formatted", "confidence"]).astype({"formatted": "object", "confidence": "float64"}) for r in rows]
+        return [tuple(r) for out in one.handleInputRows((1,), iter(parts), None) for r in out[["frame", "agreed"]].to_numpy()], len(calls)
+
+    assert feed((4, "1375/01/01", 70.0), (3, None, 70.0), (5, "1376/01/01", None)) == ([], 5)
+    assert one.last.held == {(): (5,)} and one.votes.held == {("1375/01/01",): (1, 70.0, 4), ("1376/01/01",): (1, 0.0, 5)}
+    assert feed((9, "1376/01/01", 70.0))[0] == [(9, "1376/01/01")] and not one.votes.held and not one.last.held
+    assert feed((10, "1376/01/01", 70.0), (11, "1376/01/01", 70.0)) == ([], 1)
+    one.ended.held.clear()
+    assert feed((7, "1375/01/01", 70.0), (6, "1376/01/01", 70.0), (8, "1375/01/01", 70.0)) == ([(8, "1375/01/01")], 3)
+
+
 def _wait(ready, seconds=60):
     until = time.time() + seconds
     while not ready():
