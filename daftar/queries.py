@@ -736,16 +736,22 @@ def label_kinds(spark, sf_dir):
 # --- pixels: numpy kernels, tested against plain versions -------------------------------------------
 
 
+#: Images that a kernel is given at once: what it makes of them may be a thousand times as large.
+STACK = 256
+
+
 def _kernel(spark: SparkSession, sf_dir: str, f, schema: str) -> DataFrame:
-    """A function of stacked 8x8 images (n, 8, 8) over all embeddings, in Arrow batches; it gives a column for each name."""
+    """A function of stacked 8x8 images (n, 8, 8) over all embeddings, in slices of Arrow batches; it gives a column for each name."""
     import pandas as pd
 
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        for b in batches:
-            px = np.stack(b.px.to_numpy()).astype(np.uint8).reshape(-1, 8, 8) if len(b) else np.zeros((0, 8, 8), np.uint8)
-            yield pd.DataFrame({"vec_id": b.vec_id} | dict(zip(names, f(px), strict=True)))
+        for batch in batches:
+            for at in range(0, len(batch), STACK):
+                b = batch.iloc[at : at + STACK]
+                px = np.stack(b.px.to_numpy()).astype(np.uint8).reshape(-1, 8, 8)
+                yield pd.DataFrame({"vec_id": b.vec_id.to_numpy()} | dict(zip(names, f(px), strict=True)))
 
     return grids(spark, sf_dir).select("vec_id", "px").mapInPandas(run, f"vec_id long, {schema}")
 

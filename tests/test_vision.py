@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from daftar import queries as Q
 from daftar.config import DEFAULT
 from daftar.sources import scenes as Z
 from daftar.sources.images import png, read_images
@@ -42,6 +43,15 @@ def test_holes_where_variances_are_equal():
     assert K.otsu(image) == 121 and S.holes_by_threshold(image) == 1
 
 
+def test_kernels_get_few_images_at_once(spark, tmp_path):
+    """An Arrow batch holds thousands of rows; the lines made of them would fill a worker's memory."""
+    rows = [(i, 0, [(i % 7 - 3) / 8] * 64) for i in range(1000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = Q._kernel(spark, str(tmp_path), lambda px: ([len(px)] * len(px), px[:, 0, 0].tolist()), "n int, v int").collect()
+    assert sorted((r.vec_id, r.v) for r in found) == [(i, 128 + int(255 * (i % 7 - 3) / 8 // 1)) for i in range(1000)]
+    assert max(r.n for r in found) <= 256
+
+
 def test_topology():
     assert S.topology_reasons(RING, "0", DEFAULT) == []
     assert S.topology_reasons(RING, "8", DEFAULT) == ["8-holes-1"]
