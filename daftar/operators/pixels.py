@@ -38,7 +38,9 @@ def equalise_tiles(pixels: DataFrame, width: int, height: int, tiles: tuple[int,
     count by what they hold.  Levels are whole numbers from 0 to 255.
     """
     tw, th = -(-width // tiles[0]), -(-height // tiles[1])
-    curves = tile_curves(pixels, tw, th, clip)
+    # a row for each tile, as its rows lie together already: one a level would be shuffled once more
+    tiles_ = tile_curves(pixels, tw, th, clip).groupBy("image_id", "tx", "ty").agg(F.array_sort(F.collect_list(F.struct("v", "level"))).alias("curve"))
+    curves = tiles_.select("image_id", "tx", "ty", F.col("curve.level").alias("levels"))
     fx, fy = F.col("x") / tw - 0.5, F.col("y") / th - 0.5
     last = (-(-width // tw) - 1, -(-height // th) - 1)
     clamp = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most), c)).cast("int")
@@ -49,5 +51,6 @@ def equalise_tiles(pixels: DataFrame, width: int, height: int, tiles: tuple[int,
         return F.struct(clamp(x0 + dx, last[0]).alias("tx"), clamp(y0 + dy, last[1]).alias("ty"), part.alias("part"))
 
     spread = pixels.select("image_id", "x", "y", "v", F.inline(F.array(*(corner(dx, dy) for dy in (0, 1) for dx in (0, 1)))))
-    mixed = spread.join(curves, ["image_id", "tx", "ty", "v"]).groupBy("image_id", "x", "y").agg(F.sum(F.col("part") * F.col("level")).alias("m"))
+    met = spread.join(curves, ["image_id", "tx", "ty"]).select("image_id", "x", "y", (F.col("part") * F.get("levels", F.col("v"))).alias("share")).where("share is not null")
+    mixed = met.groupBy("image_id", "x", "y").agg(F.sum("share").alias("m"))
     return mixed.select("image_id", "x", "y", F.floor(F.round("m", 6) + 0.5).cast("int").alias("v"))

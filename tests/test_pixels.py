@@ -1,6 +1,7 @@
 """Equalisation by tiles and degradations against plain loops; overlapping boxes."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from daftar.config import DEFAULT
 from daftar.functions import degrade as G
 from daftar.operators import boxes as B
 from daftar.operators import pixels as P
+from daftar.stages import settings
 from daftar.vision import shapes as S
 from daftar.vision.preprocess import crop_rotate
 
@@ -134,3 +136,12 @@ def test_crops_of_turned_images():
     assert np.array_equal(crop_rotate(image, (-5, 1, 8, 3), 180), np.rot90(image, 2)[1:4, :3])
     turned = crop_rotate(image, (0, 0, 99, 99), 30)
     assert turned.shape == (15, 17) and turned[0, 0] == 255
+
+
+def test_curves_meet_pixels_by_tile(spark):
+    """A row for each level of each tile isn't shuffled: only the counts are dealt by level."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        pixels = spark.createDataFrame([("a", 0, 0, 7)], "image_id string, x int, y int, v int")
+        plan = P.equalise_tiles(pixels, 8, 8, (2, 2), 40.0)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)", plan)
+    assert sum("v#" in keys for keys in dealt) == 1, dealt
