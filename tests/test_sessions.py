@@ -5,7 +5,9 @@ import random
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from daftar.operators import consensus as C
 from daftar.stages import settings
@@ -143,6 +145,38 @@ def test_a_session_makes_few_calls_to_its_state():
     assert feed((7, "1375/01/01", 70.0), (6, "1376/01/01", 70.0), (8, "1375/01/01", 70.0)) == ([(8, "1375/01/01")], 3)
 
 
+def _stateless(kind, required):
+    one = kind(required, None, None)
+    one.votes, one.last, one.ended = _State([]), _State([]), _State([])
+    return one
+
+
+def test_a_session_is_one_row_of_tallies(monkeypatch):
+    """However many its frames are; and tallies end it as its frames would, in one part or in several, batch by batch."""
+    rng, kinds = random.Random(5), {"session": "Int64", "frame": "int64", "formatted": "object", "confidence": "float64"}
+    dates = [None, "1375/01/01", "1376/02/02", "1377/03/03", "1378/04/04"]
+    table = lambda rows: pa.Table.from_pandas(pd.DataFrame(rows, columns=list(kinds)).astype(kinds), preserve_index=False)
+    for required in (1, 2, 3, 40):
+        batches = [[(rng.choice([None, *range(9)]), 1000 * n + rng.randrange(900), rng.choice(dates), rng.choice([None, 70.0, 0.5])) for _ in range(60)] for n in range(4)]
+        whole = list(sessions.tallies(required)(iter(table(batches[0]).to_batches(7))))
+        assert [b.num_rows for b in whole] == [len({r[0] for r in batches[0]})]
+        monkeypatch.setattr(sessions, "TALLIED", 25)
+        for session in (None, *range(9)):
+            framed, tallied, parted = (_stateless(k, required) for k in (sessions.Agreement, sessions.TalliedAgreement, sessions.TalliedAgreement))
+            for rows in batches:
+                own = [r for r in rows if r[0] == session]
+                if not own:
+                    continue
+                want = [tuple(r) for out in framed.handleInputRows((session,), iter([pd.DataFrame(own, columns=list(kinds)).astype(kinds)]), None) for r in out.astype(object).to_numpy()]
+                for one, told in ((tallied, [sessions.tally(table(rows), required)]), (parted, sessions.tallies(required)(iter(table(rows).to_batches(7))))):
+                    given = [Row(**r) for b in told for r in b.to_pylist() if r["session"] == session]
+                    assert [tuple(r) for r in one.handleInputRows((session,), iter(given), None)] == want
+                    assert one.votes.held == framed.votes.held and one.last.held == framed.last.held and one.ended.held == framed.ended.held
+        monkeypatch.undo()
+    with pytest.raises(ValueError, match="no number"):
+        sessions.tally(pa.table({"session": [1], "frame": pa.array([None], pa.int64()), "formatted": ["1375/01/01"], "confidence": [1.0]}), 2)
+
+
 def _wait(ready, seconds=60):
     until = time.time() + seconds
     while not ready():
