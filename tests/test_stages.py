@@ -30,3 +30,15 @@ def test_settings_are_put_back(spark):
     with settings(spark, {key: "7"}):
         assert spark.conf.get(key) == "7"
     assert spark.conf.get(key) == before
+
+
+def test_large_rows_are_written_and_read_few_at_once(spark):
+    """Parquet's reader takes thousands of rows of a row group at once, which for cards were gigabytes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    table = Scratch(spark, "large").write(spark.range(0, 100, 1, 2).selectExpr("id", "repeat('x', 1000) AS px"), 16, 16)
+    sizes = [f.row_group(i).num_rows for path in glob.glob(f"{table._daftar_path}/*.parquet") for f in [pq.ParquetFile(path).metadata] for i in range(f.num_row_groups)]
+    assert sum(sizes) == 100 and max(sizes) <= 16
+    assert sorted(r.id for r in table.collect()) == list(range(100))
